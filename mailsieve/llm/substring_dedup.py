@@ -36,7 +36,7 @@ def _counts(have: dict, window: int) -> np.ndarray:
     return out
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group_mb: float = 2.0) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group_mb: float = 1.5) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept), one for each row of ``docs``.
 
     A word goes if it is covered by a window of ``window`` consecutive words whose word sequence also

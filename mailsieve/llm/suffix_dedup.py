@@ -150,7 +150,7 @@ def _marks(have: dict, size: int) -> np.ndarray:
     return mask
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM, group_mb: float = 2.0) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM, group_mb: float = 1.5) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept binary, spans), one for each row of ``docs``.
 
     A byte goes if it is covered by a string of ``size`` bytes that also starts in a document with a

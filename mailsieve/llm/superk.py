@@ -42,6 +42,18 @@ from .textkit import (
 )
 
 
+#: Of a packed batch of super-k-mers, the text last.
+FIELDS = (("length", np.int32), ("row", np.int32), ("start", np.int32), ("count", np.int32), ("doc", np.int64), ("rest", np.uint32), ("text", np.uint8))
+
+
+def squeeze(raw: bytes) -> bytes:
+    return pa.Codec("zstd", 3).compress(raw, asbytes=True)
+
+
+def expand(packed, size: int):
+    return pa.Codec("zstd").decompress(packed, size)
+
+
 @dataclass(frozen=True)
 class Shape:
     unit: str  # "word" or "byte"
@@ -118,7 +130,7 @@ def joined(column, kind) -> np.ndarray:
 Resolve = Callable[[dict], np.ndarray]
 
 
-def repeated(docs: DataFrame, shape_of: Callable[[int], Shape], resolve: Resolve, finish, schema: str, group_mb: float = 2.0) -> DataFrame:
+def repeated(docs: DataFrame, shape_of: Callable[[int], Shape], resolve: Resolve, finish, schema: str, group_mb: float = 1.5) -> DataFrame:
     """``finish(group table, Group, row, start, end)`` makes the rows of one group from the marked spans of units.
 
     ``docs`` has doc_id and text.  ``resolve`` gets the super-k-mers of one bucket (data, length,
@@ -126,7 +138,7 @@ def repeated(docs: DataFrame, shape_of: Callable[[int], Shape], resolve: Resolve
     another.
     """
     n = common.groups_for(docs, group_mb)
-    shape = shape_of(max(1, -(-n // 2)))
+    shape = shape_of(n)
     grouped = docs.withColumn("g", common.doc_group(n)).select("g", "doc_id", "text")
 
     def anchors(table: pa.Table) -> pa.Table:
@@ -153,7 +165,7 @@ def repeated(docs: DataFrame, shape_of: Callable[[int], Shape], resolve: Resolve
         return pa.table({"g": pa.array(gs, pa.int32()), "bucket": pa.array([table["bucket"][0].as_py()] * len(gs), pa.int32()), "bits": pa.array(bits, pa.binary())})
 
     def travel(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {k: [] for k in ("bucket", "g", "text", "length", "row", "start", "count", "doc", "rest")}
+        out = {k: [] for k in ("bucket", "g", "n", "raw", "packed")}
         if len(right) and len(left):
             table = ordered(left)
             group = Group(table, shape)
@@ -167,19 +179,27 @@ def repeated(docs: DataFrame, shape_of: Callable[[int], Shape], resolve: Resolve
                 at = a + np.flatnonzero(np.unpackbits(np.frombuffer(bits[k], np.uint8), count=b - a))
                 text, length = group.packed(shape, start[at], count[at])
                 row = np.searchsorted(group.rows, start[at], side="right") - 1
-                for name, x in (("text", text), ("length", length.astype(np.int32)), ("row", row.astype(np.int32)), ("start", (start[at] - group.rows[row]).astype(np.int32)), ("count", count[at].astype(np.int32)), ("doc", doc[row]), ("rest", rest[at])):
-                    out[name].append(x.tobytes())
+                fields = {"length": length, "row": row, "start": start[at] - group.rows[row], "count": count[at], "doc": doc[row], "rest": rest[at], "text": text}
+                raw = b"".join(fields[name].astype(kind).tobytes() for name, kind in FIELDS)
                 out["bucket"].append(k)
                 out["g"].append(g)
-        return pa.table({k: pa.array(v, pa.int32() if k in ("bucket", "g") else pa.binary()) for k, v in out.items()})
+                out["n"].append(len(at))
+                out["raw"].append(len(raw))
+                out["packed"].append(squeeze(raw))
+        return pa.table({k: pa.array(v, pa.binary() if k == "packed" else pa.int32()) for k, v in out.items()})
 
     def answer(table: pa.Table) -> pa.Table:
-        have = {k: joined(table[k], kind) for k, kind in (("text", np.uint8), ("length", np.int32), ("row", np.int32), ("start", np.int32), ("count", np.int32), ("doc", np.int64), ("rest", np.uint32))}
-        have = {k: v if k in ("text", "rest") else v.astype(np.int64) for k, v in have.items()}
+        sizes = table["n"].to_numpy()
+        parts: dict[str, list[np.ndarray]] = {name: [] for name, _ in FIELDS}
+        for n_items, raw, packed in zip(sizes, table["raw"].to_pylist(), table["packed"]):
+            at, blob = 0, expand(packed.as_buffer(), raw)
+            for name, kind in FIELDS:
+                x = np.frombuffer(blob, kind, -1 if name == "text" else n_items, at)
+                at += x.nbytes
+                parts[name].append(x if name in ("text", "rest") else x.astype(np.int64))
+        have = {name: np.concatenate(x) for name, x in parts.items()}
         mask = resolve(have)
         first = np.cumsum(have["count"]) - have["count"]
-        d = np.diff(mask.astype(np.int8), prepend=0, append=0)
-        d = d[:-1]
         head = mask.copy()
         inner = np.ones(len(mask), bool)
         inner[first] = False
@@ -189,7 +209,6 @@ def repeated(docs: DataFrame, shape_of: Callable[[int], Shape], resolve: Resolve
         a, b = np.flatnonzero(head), np.flatnonzero(tail)
         item = np.searchsorted(first, a, side="right") - 1
         offset = have["start"][item] - first[item]
-        sizes = np.array([len(x.as_buffer()) // 4 for x in table["row"]])
         source = np.repeat(np.arange(len(sizes)), sizes)[item]
         spans = np.stack([have["row"][item], a + offset, b + offset + shape.window], axis=1).astype(np.int32)
         gs, out = table["g"].to_pylist(), []
@@ -203,6 +222,6 @@ def repeated(docs: DataFrame, shape_of: Callable[[int], Shape], resolve: Resolve
 
     first = grouped.groupBy("g").applyInArrow(anchors, "bucket int, g int, rests binary")
     again = first.groupBy("bucket").applyInArrow(seen, "g int, bucket int, bits binary")
-    moved = grouped.groupBy("g").cogroup(again.groupBy("g")).applyInArrow(travel, "bucket int, g int, text binary, length binary, row binary, start binary, count binary, doc binary, rest binary")
+    moved = grouped.groupBy("g").cogroup(again.groupBy("g")).applyInArrow(travel, "bucket int, g int, n int, raw int, packed binary")
     spans = moved.groupBy("bucket").applyInArrow(answer, "g int, spans binary")
     return grouped.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(mark, schema)

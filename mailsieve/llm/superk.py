@@ -127,6 +127,25 @@ def joined(column, kind) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+def bits_of_repeats(table: pa.Table) -> pa.Table:
+    """One bucket: for each group, a bit for each of its rests, set if the bucket has it twice."""
+    rest = joined(table["rests"], np.uint32)
+    order = np.argsort(rest)
+    s = rest[order]
+    same = s[1:] == s[:-1]
+    flag = np.zeros(len(rest), bool)
+    flag[order[1:][same]] = True
+    flag[order[:-1][same]] = True
+    sizes = [len(x.as_buffer()) // 4 for x in table["rests"]]
+    gs, bits, at = [], [], 0
+    for g, size in zip(table["g"].to_pylist(), sizes):
+        if flag[at : at + size].any():
+            gs.append(g)
+            bits.append(np.packbits(flag[at : at + size]).tobytes())
+        at += size
+    return pa.table({"g": pa.array(gs, pa.int32()), "bucket": pa.array([table["bucket"][0].as_py()] * len(gs), pa.int32()), "bits": pa.array(bits, pa.binary())})
+
+
 Resolve = Callable[[dict], np.ndarray]
 
 
@@ -147,23 +166,6 @@ def repeated(docs: DataFrame, shape_of: Callable[[int], Shape], resolve: Resolve
         g = table["g"][0].as_py()
         return pa.table({"bucket": pa.array([k for k, _ in found], pa.int32()), "g": pa.array([g] * len(found), pa.int32()), "rests": pa.array([x for _, x in found], pa.binary())})
 
-    def seen(table: pa.Table) -> pa.Table:
-        rest = joined(table["rests"], np.uint32)
-        order = np.argsort(rest)
-        s = rest[order]
-        same = s[1:] == s[:-1]
-        flag = np.zeros(len(rest), bool)
-        flag[order[1:][same]] = True
-        flag[order[:-1][same]] = True
-        sizes = [len(x.as_buffer()) // 4 for x in table["rests"]]
-        gs, bits, at = [], [], 0
-        for g, size in zip(table["g"].to_pylist(), sizes):
-            if flag[at : at + size].any():
-                gs.append(g)
-                bits.append(np.packbits(flag[at : at + size]).tobytes())
-            at += size
-        return pa.table({"g": pa.array(gs, pa.int32()), "bucket": pa.array([table["bucket"][0].as_py()] * len(gs), pa.int32()), "bits": pa.array(bits, pa.binary())})
-
     def travel(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {k: [] for k in ("bucket", "g", "n", "raw", "packed")}
         if len(right) and len(left):
@@ -221,7 +223,7 @@ def repeated(docs: DataFrame, shape_of: Callable[[int], Shape], resolve: Resolve
         return finish(table, spans[:, 0], spans[:, 1], spans[:, 2])
 
     first = grouped.groupBy("g").applyInArrow(anchors, "bucket int, g int, rests binary")
-    again = first.groupBy("bucket").applyInArrow(seen, "g int, bucket int, bits binary")
+    again = first.groupBy("bucket").applyInArrow(bits_of_repeats, "g int, bucket int, bits binary")
     moved = grouped.groupBy("g").cogroup(again.groupBy("g")).applyInArrow(travel, "bucket int, g int, n int, raw int, packed binary")
     spans = moved.groupBy("bucket").applyInArrow(answer, "g int, spans binary")
     return grouped.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(mark, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate: for a table scan, the bytes of its files."""
-    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return n if n < 1 << 62 else 1 << 40
+def text_bytes(df: DataFrame, ratio: float) -> float:
+    """About how many bytes of text ``df`` has: from the files' size if it is a plain scan, else counted."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    if leaves.size() == 1 and "LogicalRelation" in leaves.head().getClass().getName():
+        return int(str(leaves.head().stats().sizeInBytes())) * ratio
+    texts = [F.octet_length(c) for c, kind in df.dtypes if kind == "string"]
+    return df.agg(F.sum(sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(0)).cast("long"))).first()[0] or 0
 
 
 def shared_dir(spark: SparkSession) -> None:
@@ -37,8 +41,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 def groups_for(df: DataFrame, mb: float, ratio: float = 2.2) -> int:
     """How many hash groups make one group about ``mb`` MB of text (files hold text ``ratio`` times smaller)."""
-    return max(1, math.ceil(plan_bytes(df) * ratio / (mb * 1e6)))
+    return max(1, math.ceil(text_bytes(df, ratio) / (mb * 1e6)))
 
 
 def doc_group(n: int, *cols: str):
     return F.pmod(F.xxhash64(*(cols or ("doc_id",))), F.lit(n)).cast("int")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again."""
+    shared_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

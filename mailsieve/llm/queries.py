@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, substring_dedup, suffix_dedup, topk
+import corpus_pipeline
+
+from . import decontaminate, html_text, jaccard_join, language, line_dedup, mixing, substring_dedup, suffix_dedup, topk, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
+    "op2_decontaminate": decontaminate.query,
+    "op3_language": language.query,
     "op4_substring_dedup": substring_dedup.query,
     "op5_exact_topk": topk.query,
     "op6_mix_sources": mixing.query,
+    "op7_jaccard_join": jaccard_join.query,
     "op8_suffix_dedup": suffix_dedup.query,
+    "op9_toxicity": toxicity.query,
     "op10_html_text": html_text.query,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLE = {"op5_exact_topk": topk.ORACLE}
+ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op5_exact_topk": topk.ORACLE}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -87,12 +87,12 @@ def rolling_hash(p: np.ndarray, size: int, base: int) -> np.ndarray:
 class Words:
     """Words of a batch: start, end (bytes), offsets by row, 64-bit hash."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, gap: np.ndarray = SPACE):
         if lower:
             data = LOWER[data]
         self.data, self.offsets = data, offsets
         edges = offsets[(offsets > 0) & (offsets < len(data))]
-        ink = ~SPACE[data]
+        ink = ~gap[data]
         before = np.zeros(len(data), bool)
         before[1:] = ink[:-1]
         before[edges] = False

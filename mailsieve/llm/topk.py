@@ -103,30 +103,30 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
     shards = max(1, math.ceil(n / shard_rows))
     blocks = max(1, math.ceil(n / query_every / block_rows))
     data = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "v", "dim")
-    asked = rows.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    home = asked.select(F.pmod(F.col("block"), F.lit(shards)).alias("shard"), "vec_id", "v", "dim", "block", F.lit(float("-inf")).alias("bar"))
+    asked = rows.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("q_id"), F.col("v").alias("q_v"), F.col("dim").alias("q_dim"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
+    home = asked.select(F.pmod(F.col("block"), F.lit(shards)).alias("q_shard"), "q_id", "q_v", "q_dim", F.lit(float("-inf")).alias("bar"))
     hit = "query_id long, vec_id long, score long"
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[int, int, int]] = []
         if len(left) and len(right):
             dims = left["dim"].to_numpy()
-            for d in np.unique(right["dim"].to_numpy()):
-                part, ask = left.filter(pa.array(dims == d)), right.filter(pa.array(right["dim"].to_numpy() == d))
-                matrix = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(len(t), int(d))  # noqa: B023, E731
+            for d in np.unique(right["q_dim"].to_numpy()):
+                part, ask = left.filter(pa.array(dims == d)), right.filter(pa.array(right["q_dim"].to_numpy() == d))
+                matrix = lambda t, name: t[name].combine_chunks().flatten().to_numpy().reshape(len(t), int(d))  # noqa: B023, E731
                 if not len(part):
                     continue
-                own = ask["vec_id"].to_numpy()
-                for q, best in zip(own, Tree(part["vec_id"].to_numpy(), matrix(part)).search(matrix(ask), own, k, ask["bar"].to_numpy())):
+                own = ask["q_id"].to_numpy()
+                for q, best in zip(own, Tree(part["vec_id"].to_numpy(), matrix(part, "v")).search(matrix(ask, "q_v"), own, k, ask["bar"].to_numpy())):
                     found += [(int(q), -i, int(s)) for s, i in best]
         return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "vec_id": pa.array([f[1] for f in found], pa.int64()), "score": pa.array([f[2] for f in found], pa.int64())})
 
-    near = data.groupBy("shard").cogroup(home.groupBy("shard")).applyInArrow(search, hit)
+    near = data.groupBy("shard").cogroup(home.groupBy("q_shard")).applyInArrow(search, hit)
     if shards > 1:
         kth = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
         others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.pmod(F.col("block"), F.lit(shards)))
-        far = asked.join(kth, asked.vec_id == kth.query_id, "left").select(F.explode(others).alias("shard"), "vec_id", "v", "dim", "block", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))).alias("bar"))
-        near = near.unionByName(data.groupBy("shard").cogroup(far.groupBy("shard")).applyInArrow(search, hit))
+        far = asked.join(kth, F.col("q_id") == F.col("query_id"), "left").select(F.explode(others).alias("q_shard"), "q_id", "q_v", "q_dim", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))).alias("bar"))
+        near = near.unionByName(data.groupBy("shard").cogroup(far.groupBy("q_shard")).applyInArrow(search, hit))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast(T.IntegerType()), "vec_id", "score")
 

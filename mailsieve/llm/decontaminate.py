@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .textkit import BASE_WORD, SPACE, U64, Words, flat, mix, prefix, rolling_hash, row_of
+from .textkit import BASE_WORD, SPACE, U64, Words, flat, mix, pieces, prefix, rolling_hash, row_of
 
 SIMILARITY, WALKS, KEYS, BITS, BLOCK_WORDS = 0.8, 4, 16, 2, 2_000_000
 GAP = SPACE.copy()
@@ -185,7 +185,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         index = docs.sparkSession.sparkContext.broadcast(build(block, similarity))
 
         def run(batches, index=index):
-            for b in batches:
+            for b in pieces(batches, 1):
                 x = index.value
                 got = matches(x, b.column(1))
                 n = np.diff(x.offsets)
@@ -208,7 +208,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         index = docs.sparkSession.sparkContext.broadcast(build(block, similarity))
 
         def run(batches, index=index):
-            for b in batches:
+            for b in pieces(batches, text_col):
                 keep = np.ones(b.num_rows, bool)
                 keep[[r for r, _, _ in matches(index.value, b.column(b.schema.names.index(text_col)).cast(pa.string()))]] = False
                 yield b.filter(pa.array(keep))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read
+from .textkit import pieces
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes plaintext".split())
@@ -230,7 +231,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     schema = pages.select(*keep).schema.add("text", "string").add("n_chars", "long")
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, html_col):
             out = [main_text(x) for x in b.column(b.schema.get_field_index(html_col)).to_pylist()]
             cols = {c: b.column(b.schema.get_field_index(c)) for c in keep}
             yield pa.RecordBatch.from_pydict(cols | {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(x) for x in out], pa.int64())})

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read
+from .textkit import pieces
 
 SLOTS, ORDERS, PER_LANG, MAX_LANGS, EPOCHS, SCALE = 1 << 15, (1, 2, 3), 600, 128, 4, 20.0
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-5
@@ -147,7 +148,7 @@ def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: i
 
     def count(batches):
         df, n = np.zeros(SLOTS, np.int64), 0
-        for b in batches:
+        for b in pieces(batches, 0):
             slots, offsets, letters = grams(b.column(0))
             n += int(letters.sum())
             for a in range(0, len(letters), 64):
@@ -203,11 +204,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                b = whole.slice(a, 500)
-                lang, score = shared.value.predict(b.column(2))
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "held_out": b.column(1), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
+        for b in pieces(batches, 2):
+            lang, score = shared.value.predict(b.column(2))
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "held_out": b.column(1), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
 
     return base.mapInArrow(run, f"doc_id {dict(base.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .textkit import BASE_BYTE, BASE_WORD, BYTE_KEY, SPACE, U64, Words, flat, mix, prefix, rolling_hash, row_of, sliding_min, spans_hash, starts_inside
+from .textkit import BASE_BYTE, BASE_WORD, BYTE_KEY, SPACE, U64, Words, flat, mix, pieces, prefix, rolling_hash, row_of, sliding_min, spans_hash, starts_inside
 
 MIN_LINES, MIN_WORDS = 2, 8
 NEWLINE = 0x0A
@@ -65,7 +65,7 @@ def _runs(lines: Lines, min_lines: int, min_words: int):
 
 def _emit(min_lines: int, min_words: int):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 1):
             lines = Lines(b.column(1))
             row, mark, key, at, size = _runs(lines, min_lines, min_words)
             yield pa.RecordBatch.from_pydict(
@@ -84,7 +84,7 @@ def _emit(min_lines: int, min_words: int):
 
 def _cut(columns: list[str], text_col: str):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, text_col):
             names = b.schema.names
             text = b.column(names.index(text_col))
             lines = Lines(text)

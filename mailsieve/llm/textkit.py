@@ -157,3 +157,19 @@ def true_runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     d = np.diff(mask.astype(np.int8), prepend=0, append=0)
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
+
+
+def pieces(batches, column: int | str, size: int = 1_000_000):
+    """The record batches cut into slices of about ``size`` bytes of the text column, so that working memory is bounded."""
+    for b in batches:
+        text = b.column(column if isinstance(column, int) else b.schema.names.index(column))
+        total = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        if not len(total):
+            yield b
+            continue
+        a = 0
+        while a < len(total):
+            done = total[a - 1] if a else 0
+            z = max(a + 1, int(np.searchsorted(total, done + size, side="right")))
+            yield b.slice(a, z - a)
+            a = z

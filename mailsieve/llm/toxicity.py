@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .decontaminate import GAP
-from .textkit import U64, Words, flat, mix, row_of
+from .textkit import U64, Words, flat, mix, pieces, row_of
 
 SLOTS, MAX_FIT, STEPS, L1, L2, REJECT = 1 << 18, 12_000, 150, 0.0165, 1e-5, 0.5
 
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked.limit(2 * max_fit)), F.col("id") == F.col("__id")).select("id", "__grade", "text")
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 2):
             slot, off = features(b.column(2))
             yield pa.RecordBatch.from_pydict({"id": b.column(0), "grade": b.column(1), "slots": pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(slot.astype(np.int32)))})
 
@@ -132,7 +132,7 @@ def _score(docs: DataFrame, model: Model | None, text_col: str, keep: list[str])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, "__text"):
             s, g = shared.value.severity(b.column(b.schema.names.index("__text")))
             cols = {c: b.column(i) for i, c in enumerate(b.schema.names) if c in keep}
             yield pa.RecordBatch.from_pydict(cols | {"severity": pa.array(s, pa.float64()), "grade": pa.array(g.astype(np.int32))})

@@ -58,7 +58,7 @@ class Engine:
 
     def with_config(self, config: Config) -> Engine:
         out = Engine(self.rules, config)
-        out.__dict__.update({k: v for k, v in self.__dict__.items() if k.startswith("by_")})
+        out.by_name, out.by_param = self.by_name, self.by_param  # they don't depend on the configuration
         return out
 
     @cached_property
@@ -85,22 +85,37 @@ class Engine:
         p = self.by_name.get(name)
         return bool(p) and any(compiled("(?i)" + e).search(text) for e in p.exceptions)
 
-    def active(self, url: Url) -> list[int]:
-        """Rules in force for a URL, whatever the parameter."""
+    @cached_property
+    def by_param(self) -> tuple[dict[str, list[int]], list[int]]:
+        """Rules by their plain name, and those that need a test of their own."""
+        exact: dict[str, list[int]] = {}
+        rest = []
+        for i, (p, _) in enumerate(self.rules.params):
+            if p.matcher.kind == "exact" and p.matcher.subject == "decoded-name" and not p.exception_all:
+                exact.setdefault(p.matcher.value.lower(), []).append(i)
+            else:
+                rest.append(i)
+        return exact, rest
+
+    def context(self, url: Url):
+        """A test of whether a rule is in force for a URL; scopes are tested once and when needed."""
         text, host = str(url), (url.host or "").lower()
         hit = {p.name for p in self.rules.providers if p.exceptions and compiled("(?i)" + p.pattern).search(text) and self.excepted(p.name, text)}
-        out = []
-        for i, (p, names) in enumerate(self.rules.params):
+        seen: dict[tuple, bool] = {}
+
+        def active(i: int) -> bool:
+            p, names = self.rules.params[i]
             if p.source == "clear-urls":
-                if p.referral and not self.config.strip_referral_marketing:
-                    continue
-                if not p.is_global and not self.config.apply_vendor_rules:
-                    continue
+                if (p.referral and not self.config.strip_referral_marketing) or (not p.is_global and not self.config.apply_vendor_rules):
+                    return False
                 if hit and (p.is_global or (names and names <= hit)):
-                    continue
-            if self.scoped(p.include, p.exclude, text, host):
-                out.append(i)
-        return out
+                    return False
+            key = (p.include, p.exclude)
+            if key not in seen:
+                seen[key] = self.scoped(p.include, p.exclude, text, host)
+            return seen[key]
+
+        return active
 
     @staticmethod
     def matches(p: Param, raw: str, equals: bool, name: str, pair: str) -> bool:
@@ -120,7 +135,7 @@ class Engine:
         name = name.lower()
         return any(name.startswith(p[:-1].lower()) if p.endswith("*") and len(p) > 1 else name == p.lower() for p in patterns)
 
-    def removes(self, active: list[int], segment: str) -> str | None:
+    def removes(self, active, segment: str) -> str | None:
         """The decoded name if the segment goes."""
         raw, equals, value = segment.partition("=")
         name = form_decode(raw)
@@ -129,7 +144,8 @@ class Engine:
         if self.listed(name, self.config.extra_tracking_params):
             return name
         pair = f"{name}={form_decode(value)}"
-        hits = [self.rules.params[i][0] for i in active if self.matches(self.rules.params[i][0], raw, bool(equals), name, pair) or self.rules.params[i][0].exception_all]
+        exact, rest = self.by_param
+        hits = [p for i in (*exact.get(name.lower(), ()), *rest) if ((p := self.rules.params[i][0]).exception_all or self.matches(p, raw, bool(equals), name, pair)) and active(i)]
         spared = {p.matcher for p in hits if p.exception}
         every = any(p.exception_all for p in hits)
         return name if any(not p.exception and not p.exception_all and not (p.source == "ad-guard" and (every or p.matcher in spared)) for p in hits) else None
@@ -137,7 +153,7 @@ class Engine:
     def clean(self, url: Url) -> Cleaned:
         if not url.query or host_in(url.host, self.config.exclude_domains):
             return Cleaned(str(url), False, [])
-        active, kept, removed = self.active(url), [], []
+        active, kept, removed = self.context(url), [], []
         for s in url.query.split("&"):
             name = self.removes(active, s) if s else None
             if name is None:

@@ -75,6 +75,7 @@ class Group:
         if shape.unit == "word":
             w = Words(data, offsets)
             self.words, self.data, self.rows = w, w.data, w.rows
+            self.padded, self.wide = np.append(w.data, np.uint8(32)), (w.end - w.start) + 1  # a word and one space
             self.prefix, self.base = prefix(w.hashes(), BASE_WORD), BASE_WORD
         else:
             self.data, self.rows = data, offsets
@@ -105,10 +106,9 @@ class Group:
             n = count + (shape.window - 1)
             return slices(self.data, start, n), n
         n = count + (shape.window - 1)
-        w = self.words
-        at = slices(np.arange(len(w.start)), start, n)
-        size = (w.end - w.start)[at] + 1  # a word and one space
-        out = slices(np.append(w.data, np.uint8(32)), w.start[at], size)
+        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        size = self.wide[at]
+        out = slices(self.padded, self.words.start[at], size)
         ends = np.cumsum(size)
         out[ends - 1] = 32
         last = np.cumsum(n)

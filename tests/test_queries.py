@@ -67,8 +67,8 @@ def test_stream(spark, tmp_path):
     schema = "conn_id string, seq long, cmd string, payload binary"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
     stream = replies(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), Engine(load()))
-    q = stream.writeStream.format("memory").queryName("out").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
-    q.processAllAvailable()
+    q = stream.writeStream.format("memory").queryName("out").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(60)
     q.stop()
     got = spark.table("out").collect()
     assert [bytes(r.payload) for r in got if r.action == "b"] == [b'<a href="https://a.com/">']

@@ -69,7 +69,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     return repeated(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")),
-        lambda buckets: Shape("word", window, gram, buckets),
+        lambda buckets: Shape("word", window, gram, buckets, inside=True),
         lambda have: _counts(have, window),
         finish,
         "doc_id long, n_words long, n_removed long, kept string",

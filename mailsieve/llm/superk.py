@@ -6,7 +6,8 @@ have equal minimisers, so whatever can be equal meets in the bucket of its minim
 
 1. every group sends the 32-bit rests of its minimisers to their buckets, packed;
 2. a bucket answers with one bit for each: seen at least twice, or not;
-3. super-k-mers whose minimiser is repeated travel as packed strings to the bucket;
+3. super-k-mers whose minimiser is repeated travel as packed strings to the bucket, and where
+   repeats inside a document count, so do those that hold their minimiser twice themselves;
 4. ``resolve`` finds the windows to mark there and answers with spans of units;
 5. the group marks its documents.
 
@@ -60,6 +61,7 @@ class Shape:
     window: int
     gram: int
     buckets: int
+    inside: bool = False  # whether repeats inside one document count
 
 
 def ordered(table: pa.Table) -> pa.Table:
@@ -96,10 +98,22 @@ class Group:
 
     def keyed(self, shape: Shape):
         start, count, h = self.runs(shape)
+        self.twice = self.holds_twice(shape, start, count, h) if shape.inside else np.zeros(len(start), bool)
         bucket, rest = (h % U64(shape.buckets)).astype(np.int64), ((h // U64(shape.buckets)) & U64(0xFFFFFFFF)).astype(np.uint32)
         order = np.argsort(bucket, kind="stable")
+        self.twice = self.twice[order]
         return start[order], count[order], bucket[order], rest[order]
 
+    def holds_twice(self, shape: Shape, start: np.ndarray, count: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Super-k-mers in which the gram that is their minimiser starts twice: only these can repeat a window within."""
+        if not len(start):
+            return np.zeros(0, bool)
+        n = count + (shape.window - shape.gram)
+        first = np.cumsum(n) - n
+        at = np.repeat(start - first, n) + np.arange(int(n.sum()))
+        same = rolling_hash(self.prefix, shape.gram, self.base)[at] == np.repeat(h, n)
+        return np.add.reduceat(same.astype(np.int64), first) > 1
+
     def packed(self, shape: Shape, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of the super-k-mers, one after another, and their lengths."""
         if shape.unit == "byte":
@@ -168,7 +182,7 @@ def repeated(docs: DataFrame, shape_of: Callable[[int], Shape], resolve: Resolve
 
     def travel(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {k: [] for k in ("bucket", "g", "n", "raw", "packed")}
-        if len(right) and len(left):
+        if len(left) and (len(right) or shape.inside):
             table = ordered(left)
             group = Group(table, shape)
             start, count, bucket, rest = group.keyed(shape)
@@ -176,9 +190,12 @@ def repeated(docs: DataFrame, shape_of: Callable[[int], Shape], resolve: Resolve
             doc = table["doc_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
             g = left["g"][0].as_py()
             for k, a, b in cuts(bucket):
-                if k not in bits:
+                go = group.twice[a:b].copy()
+                if k in bits:
+                    go |= np.unpackbits(np.frombuffer(bits[k], np.uint8), count=b - a).view(bool)
+                at = a + np.flatnonzero(go)
+                if not len(at):
                     continue
-                at = a + np.flatnonzero(np.unpackbits(np.frombuffer(bits[k], np.uint8), count=b - a))
                 text, length = group.packed(shape, start[at], count[at])
                 row = np.searchsorted(group.rows, start[at], side="right") - 1
                 fields = {"length": length, "row": row, "start": start[at] - group.rows[row], "count": count[at], "doc": doc[row], "rest": rest[at], "text": text}

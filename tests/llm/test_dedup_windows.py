@@ -77,6 +77,15 @@ def test_substring(spark, window, gram):
     assert sorted(got, key=key) == sorted(brute_words(rows, window), key=key)
 
 
+def test_substring_within_one_document(spark):
+    """Windows that repeat nowhere else but in their own document, at every period."""
+    rows = [(p, " ".join(f"d{p}w{i % p}" for i in range(70 + 3 * p))) for p in [*range(1, 40), 90]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in substring_dedup.dedup(df).collect()]
+    assert sorted(got, key=key) == sorted(brute_words(rows, 35), key=key)
+    assert {r[0] for r in got if r[2] == 0} == set()
+
+
 @pytest.mark.parametrize("size,gram", [(50, 20), (9, 4)])
 def test_suffix(spark, size, gram):
     rows = corpus(size)

@@ -19,6 +19,12 @@ QUERIES = {
     "op10_html_text": html_text.query,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op5_exact_topk": topk.ORACLE}
+ORACLE = {
+    "op1_line_dedup": line_dedup.ORACLE,
+    "op4_substring_dedup": substring_dedup.ORACLE,
+    "op5_exact_topk": topk.ORACLE,
+    "op7_jaccard_join": jaccard_join.ORACLE,
+    "op8_suffix_dedup": suffix_dedup.ORACLE,
+}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

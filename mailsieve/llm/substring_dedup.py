@@ -77,5 +77,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     )
 
 
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+t AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+win AS (
+  SELECT r, i, word, string_agg(word, ' ') OVER ahead AS s, count(*) OVER ahead AS n FROM t
+  WINDOW ahead AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)
+),
+flagged AS (SELECT r, i, word, CASE WHEN n = {WINDOW} AND count(*) OVER (PARTITION BY s) > 1 THEN 1 ELSE 0 END AS again FROM win),
+marked AS (SELECT r, i, word, max(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM flagged),
+done AS (SELECT r, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM marked GROUP BY r)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN done ON d.r = done.r
+"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -184,5 +184,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     )
 
 
+ORACLE = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+t AS (SELECT doc_id, n, unnest(range(n)) AS i, b FROM d),
+win AS (SELECT doc_id, i, hex(b[i + 1 : i + 1]) AS x, CASE WHEN i + {SIZE} <= n THEN b[i + 1 : i + {SIZE}] END AS s FROM t),
+flagged AS (SELECT doc_id, i, x, CASE WHEN s IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY s) THEN 1 ELSE 0 END AS again FROM win),
+marked AS (SELECT doc_id, i, x, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {SIZE - 1} PRECEDING AND CURRENT ROW) AS gone FROM flagged),
+edged AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS head FROM marked),
+done AS (SELECT doc_id, sum(gone) AS n_removed, sum(head) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM edged GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN done ON d.doc_id = done.doc_id
+"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

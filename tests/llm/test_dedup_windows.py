@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -129,3 +130,15 @@ def test_run_index():
                 while i + m < n and j + m < n and raw[i + m] == raw[j + m]:
                     m += 1
                 assert length[i] == m and (source[i] == j or m == 0)
+
+
+@pytest.mark.parametrize("op", [substring_dedup, suffix_dedup])
+def test_oracle(spark, tmp_path, op):
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(11))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op.query(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(op.ORACLE)
+    assert want.columns == got.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())

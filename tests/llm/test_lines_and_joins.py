@@ -110,6 +110,17 @@ def test_join(spark, size, percent, leaf):
     assert sorted(got, key=key) == sorted(brute_join(rows, size, percent), key=key)
 
 
+def test_join_oracle(spark, tmp_path):
+    rows = [r for r in join_corpus(9) if r[0] is not None]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = jaccard_join.query(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(jaccard_join.ORACLE)
+    assert want.columns == got.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_join_edges(spark):
     assert jaccard_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     same = spark.createDataFrame([(i, "one two three four") for i in range(500)] + [(0, "one two three four")], "doc_id long, text string")

@@ -209,9 +209,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     low = by_key.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select(F.col("key").alias("k"), "low")
     candidates = by_key.join(low, by_key.key == low.k).where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     home = components(candidates)
-    members = several.join(home, several.rep == home.node).select("component", "rep", "packed")
     leaves = home.groupBy("component").agg(F.ceil(F.count("*") / F.lit(leaf_rows)).cast("int").alias("leaves")).select(F.col("component").alias("c"), "leaves")
-    spread = members.join(leaves, members.component == leaves.c).withColumn("leaf", F.pmod(F.xxhash64("rep"), F.col("leaves")).cast("int"))
+    # the leaf is settled on the narrow rows, so that the sets travel once to the join and once to their leaves
+    placed = home.join(leaves, home.component == leaves.c).withColumn("leaf", F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int"))
+    spread = several.select("rep", "packed").join(placed, F.col("rep") == F.col("node"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1))).select("component", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "rep", "packed")
 
     def verify(group: pa.Table) -> pa.Table:

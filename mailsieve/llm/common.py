@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import tempfile
@@ -33,10 +34,19 @@ def shared_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(where or Path(tempfile.gettempdir(), f"mailsieve-checkpoints-{os.getuid()}").as_uri())
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder.
+
+    With ``free`` (after a wide stage), a collection on the driver lets Spark's cleaner drop the shuffle files and older checkpoints
+    that nothing refers to any more; otherwise they stay until the driver's heap happens to fill.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    if free:
+        gc.collect()
+        out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def groups_for(df: DataFrame, mb: float, ratio: float = 2.2) -> int:

@@ -201,9 +201,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     from .superk import bits_of_repeats
 
     seen = grouped.groupBy("g").applyInArrow(anchors, "bucket int, g int, rests binary").groupBy("bucket").applyInArrow(bits_of_repeats, "g int, bucket int, bits binary")
-    table = common.cut(grouped.groupBy("g").cogroup(seen.groupBy("g")).applyInArrow(nodes, "doc_id long, n long, s1 long, s2 long, keys array<long>, packed binary"))
+    table = common.cut(grouped.groupBy("g").cogroup(seen.groupBy("g")).applyInArrow(nodes, "doc_id long, n long, s1 long, s2 long, keys array<long>, packed binary"), free=True)
     linkable = table.where("n > 0 and doc_id is not null")
-    classes = common.cut(linkable.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"), F.min("packed").alias("packed")))
+    classes = common.cut(linkable.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"), F.min("packed").alias("packed")), free=True)
     several = classes.where(F.size("keys") > 0)
     by_key = several.select(F.explode("keys").alias("key"), "rep")
     low = by_key.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select(F.col("key").alias("k"), "low")

@@ -4,13 +4,18 @@ Each document is its set of word shingles, as 64-bit hashes.  Equal sets collaps
 
 Routing: a class's shingles are hashed into groups, one more than the largest symmetric difference
 that a link allows at this size, so two linked sets have at least one group with equal content.
-Group contents that occur once are dropped by the bucketed bit exchange of ``superk``; the others
-join classes into candidate components, which hold all links.
-
-Verification: inside a candidate component, split into leaves of bounded size, group counts are
-indexed as points of an R-tree.  The overlap of a set and a box is bounded by the summed minima of
-its counts and the box's upper corner; surviving points are bounded the same way and then verified on
-the sets, until they are connected.  Links between pairs that are connected already are not made.
+Group contents that occur once are dropped by the bucketed bit exchange of ``superk``.  The smallest
+class of a group content is its hub; two linked sets share a hub.
+
+Index: the classes of a hub are points of an R-tree over their group counts, which are narrow and
+travel once for each hub of a class.  The overlap of a set and a box is bounded by the summed minima
+of its counts and the box's upper corner, and that of two sets by those of their counts.  What the
+bound leaves joins classes into candidate components, which hold all links.  Shared passages alone
+pass the first step but not the bound, so these components stay near the groups of near duplicates.
+
+Verification: only now the sets travel, to the leaves of bounded size of their candidate component,
+where the R-tree's surviving pairs are verified until they are connected.  Links between pairs that
+are connected already are not made.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from .components import components
 from .superk import cuts, ordered
 from .textkit import BASE_WORD, U64, Words, flat, mix, prefix, rolling_hash, row_of, spans_hash, starts_inside
 
-SHINGLE, PERCENT, DIMS, FAN, LEAF_ROWS = 3, 90, 16, 32, 1500
+SHINGLE, PERCENT, DIMS, FAN, LEAF_ROWS, LEAF_SHINGLES = 3, 90, 256, 32, 1500, 5_000_000
 
 
 def bands(percent: int, most: int) -> list[int]:
@@ -128,21 +133,43 @@ class CountTree:
         return at[np.minimum(self.points[live], q).sum(axis=1) >= need[at]]
 
 
+def counts(s: np.ndarray) -> np.ndarray:
+    """The point of a set: how many of its hashes fall into each group."""
+    return np.bincount((s % U64(DIMS)).astype(np.int64), minlength=DIMS).astype(np.uint32)
+
+
+def least_overlap(size: np.ndarray, i: int, percent: int) -> np.ndarray:
+    """Overlap with each set that makes a link of it and set ``i``."""
+    return -(-percent * (size + size[i]) // (100 + percent))
+
+
+def bounded(ids: np.ndarray, points: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs that connect what all pairs within the bound connect, one fewer than there are ids at most."""
+    size = points.sum(axis=1, dtype=np.int64)
+    tree = CountTree(points)
+    root = np.arange(len(ids))
+    out = []
+    for i in range(len(ids)):
+        near = tree.search(points[i], least_overlap(size, i, percent))
+        others, at = np.unique(root[near], return_index=True)
+        fresh = others != root[i]
+        out += [(int(ids[i]), int(ids[j])) for j in near[at[fresh]]]
+        root[np.isin(root, others[fresh])] = root[i]
+    return out
+
+
 def links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Verified links that connect what all links connect."""
     n = len(ids)
     size = np.array([len(s) for s in sets])
-    points = np.zeros((n, DIMS), np.int64)
-    for i, s in enumerate(sets):
-        points[i] = np.bincount((s % U64(DIMS)).astype(np.int64), minlength=DIMS)
+    points = np.stack([counts(s) for s in sets])
     tree = CountTree(points)
     root = np.arange(n)
     out = []
     for i in range(n):
-        total = size + size[i]
-        need = -(-percent * total // (100 + percent))  # overlap that makes a link
-        for j in tree.search(points[i], need):
-            if j <= i or root[i] == root[j]:
+        near = tree.search(points[i], least_overlap(size, i, percent))
+        for j in near[(near > i) & (root[near] != root[i])]:
+            if root[i] == root[j]:
                 continue
             overlap = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if 100 * overlap >= percent * (size[i] + size[j] - overlap):
@@ -151,6 +178,27 @@ def links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[in
     return out
 
 
+def in_cells(members: DataFrame, group: str, leaf_rows: int, weight: str = "0L") -> DataFrame:
+    """``members`` (``group``, rep, ...) with a column cell.
+
+    All pairs of a group meet in some cell.  A small group lies in one cell, with other groups; a group
+    above ``leaf_rows`` rows or LEAF_SHINGLES of ``weight`` is split into leaves, with a cell for each two.
+    """
+    per = members.groupBy(group).agg(F.count("*").alias("rows"), F.sum(F.expr(weight)).alias("w"))
+    per = common.cut(per.select(F.col(group).alias("__g"), "rows", "w", F.greatest(F.lit(1), F.ceil(F.col("rows") / leaf_rows), F.ceil(F.col("w") / LEAF_SHINGLES)).cast("int").alias("leaves")))
+    total = per.agg(F.sum("rows"), F.sum("w")).first()
+    cells = max(1, math.ceil((total[0] or 0) / leaf_rows), math.ceil((total[1] or 0) / LEAF_SHINGLES))
+    leaf = F.pmod(F.xxhash64("rep"), F.col("leaves")).cast("int")
+    placed = members.join(per.select("__g", "leaves"), F.col(group) == F.col("__g")).withColumn("leaf", leaf).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
+    own = F.xxhash64(group, F.least("leaf", "other"), F.greatest("leaf", "other"))
+    return placed.withColumn("cell", F.when(F.col("leaves") > 1, own).otherwise(F.pmod(F.xxhash64(group), F.lit(cells)))).drop("__g", "leaves", "leaf", "other")
+
+
+def edges_of(pairs) -> pa.Table:
+    found = list(pairs)
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, group_mb: float = 1.5, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``.
 
@@ -206,20 +254,34 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     classes = common.cut(linkable.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"), F.min("packed").alias("packed")), free=True)
     several = classes.where(F.size("keys") > 0)
     by_key = several.select(F.explode("keys").alias("key"), "rep")
-    low = by_key.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select(F.col("key").alias("k"), "low")
-    candidates = by_key.join(low, by_key.key == low.k).where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    home = components(candidates)
-    leaves = home.groupBy("component").agg(F.ceil(F.count("*") / F.lit(leaf_rows)).cast("int").alias("leaves")).select(F.col("component").alias("c"), "leaves")
-    # the leaf is settled on the narrow rows, so that the sets travel once to the join and once to their leaves
-    placed = home.join(leaves, home.component == leaves.c).withColumn("leaf", F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int"))
-    spread = several.select("rep", "packed").join(placed, F.col("rep") == F.col("node"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1))).select("component", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "rep", "packed")
+    low = by_key.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("high")).where("hub < high").select(F.col("key").alias("k"), "hub")
+    member = common.cut(by_key.join(low, by_key.key == low.k).select("rep", "hub").distinct(), free=True)
 
-    def verify(group: pa.Table) -> pa.Table:
-        found = links(group["rep"].to_pylist(), [np.frombuffer(x.as_buffer(), np.uint64) for x in group["packed"]], percent)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+    def pointed(batches):
+        for batch in batches:
+            point = [counts(np.frombuffer(x.as_buffer(), np.uint64)).tobytes() for x in batch["packed"]]
+            yield pa.RecordBatch.from_pydict({"node": batch["rep"], "point": pa.array(point, pa.binary())})
 
-    found = components(spread.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long"))
+    def bound(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("hub", "ascending"), ("rep", "ascending")])
+        rep = group["rep"].to_numpy()
+        points = np.frombuffer(b"".join(group["point"].to_pylist()), np.uint32).reshape(-1, DIMS)
+        return edges_of(x for _, a, b in cuts(group["hub"].to_numpy()) for x in bounded(rep[a:b], points[a:b], percent))
+
+    def verify(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("component", "ascending"), ("rep", "ascending")])
+        rep = group["rep"].to_pylist()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["packed"]]
+        return edges_of(x for _, a, b in cuts(group["component"].to_numpy()) for x in links(rep[a:b], sets[a:b], percent))
+
+    points = several.select("rep", "packed").mapInArrow(pointed, "node long, point binary")
+    at_hub = in_cells(member, "hub", leaf_rows).join(points, F.col("rep") == F.col("node")).select("cell", "hub", "rep", "point")
+    near = components(at_hub.groupBy("cell").applyInArrow(bound, "a long, b long")).withColumnRenamed("node", "rep")
+    sizes = several.select(F.col("rep").alias("node"), "n")
+    at_component = in_cells(near.join(sizes, F.col("rep") == F.col("node")).select("component", "rep", "n"), "component", leaf_rows, "n")
+    sets = several.select(F.col("rep").alias("node"), "packed")
+    spread = at_component.join(sets, F.col("rep") == F.col("node")).select("cell", "component", "rep", "packed")
+    found = components(spread.groupBy("cell").applyInArrow(verify, "a long, b long"))
     # rows that repeat an id with different texts join their classes as well
     named = classes.select("s1", "s2", "n", "rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n").alias("cn"), F.coalesce("component", "rep").alias("label"))
     out = table.join(named, (table.s1 == named.c1) & (table.s2 == named.c2) & (table.n == named.cn), "left")

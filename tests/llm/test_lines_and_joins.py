@@ -136,3 +136,44 @@ def test_links_need_only_connect():
     sets = [np.unique(np.append(base[r.random(400) < 0.985], r.integers(0, 2**63, 3).astype(np.uint64))) for _ in range(300)]
     out = jaccard_join.links(list(range(300)), sets, 90)
     assert len(out) == 299
+
+
+def test_bound_keeps_links_and_drops_shared_passages():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    new = lambda n: r.integers(0, 2**63, n).astype(np.uint64)
+    passage = new(250)
+    loose = [np.unique(np.append(passage, new(150))) for _ in range(40)]
+    bases = [new(n) for n in (1, 2, 30, 400, 3000)]
+    near = [np.unique(np.append(b[: len(b) - len(b) // 12], new(len(b) // 40))) for b in bases for _ in range(4)]
+    sets = loose + bases + near
+    ids = np.arange(len(sets)) * 3
+    found = jaccard_join.bounded(ids, np.stack([jaccard_join.counts(s) for s in sets]), 80)
+    assert not any(min(p) < 3 * len(loose) for p in found)
+    root = {int(i): int(i) for i in ids}
+    for a, b in found:
+        old, to = root[a], root[b]
+        root = {k: to if v == old else v for k, v in root.items()}
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= 80 * (len(x) + len(y) - both):
+                assert root[3 * i] == root[3 * j]
+
+
+def test_cells_hold_every_pair(spark):
+    rows = [(g, 100 * g + k) for g, n in ((1, 17), (2, 3), (3, 1), (4, 4), (5, 9)) for k in range(n)]
+    cells = {}
+    for x in jaccard_join.in_cells(spark.createDataFrame(rows, "hub long, rep long"), "hub", 4).collect():
+        cells.setdefault(x.cell, set()).add((x.hub, x.rep))
+    together = {(a, b) for c in cells.values() for a in c for b in c}
+    assert all(((g, a), (g, b)) in together for g, a in rows for h, b in rows if g == h)
+    assert max(len(c) for c in cells.values()) < 17
+
+
+def test_join_one_id_with_two_texts(spark):
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join(a[:-1])), (6, " ".join(b[1:])), (8, "c d e f")]
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 5, 6: 5, 7: 5, 8: 8}

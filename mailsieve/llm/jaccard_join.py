@@ -4,6 +4,8 @@ Each document is its set of word shingles, as 64-bit hashes.  Equal sets collaps
 
 Routing: a class's shingles are hashed into groups, one more than the largest symmetric difference
 that a link allows at this size, so two linked sets have at least one group with equal content.
+That group may be empty in both.  A set whose non-empty groups could all be touched by differences is
+therefore routed by a prefix of its shingles too, so two linked sets always share a key.
 Group contents that occur once are dropped by the bucketed bit exchange of ``superk``.  The smallest
 class of a group content is its hub; two linked sets share a hub.
 
@@ -79,28 +81,51 @@ class Sets:
         return out[0], out[1]
 
     def keys(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, key) for the content of every non-empty group, in the band of the set and, where a larger partner may be, the next."""
+        """(row, key) such that any two linked sets share a key.
+
+        For the band of the set and those of larger partners: the content of every non-empty group, and,
+        where differences could touch all of these (the group with equal content is then empty, or may
+        be), the first shingles in a random order, of which two linked sets share one.
+        """
         if not len(self.hash):
             return np.zeros(0, np.int64), self.hash
-        edge = np.array(bands(percent, int(self.size.max()) * 2))
+        edge = np.array(bands(percent, int(self.size.max()) * 4))
         band = np.searchsorted(edge, self.size, side="right") - 1
         need = np.array([group_count(int(e) - 1, percent) for e in edge[1:]], np.int64)
+        most = self.size * 100 // percent  # the largest partner
         rows, keys = [], []
-        for step in (0, 1):
-            live = (self.size > 0) if step == 0 else (self.size > 0) & (self.size * 100 // percent >= edge[np.minimum(band + 1, len(edge) - 1)])
+        for step in (0, 1, 2):
+            at = np.minimum(band + step, len(need) - 1)
+            live = (self.size > 0) & ((step == 0) | (most >= edge[at]))
+            if not live.any():
+                continue
             pick = live[self.row]
             h, row = self.hash[pick], self.row[pick]
-            b = (band + step)[row]
+            b = at[row]
             g = (mix(h ^ U64(0xABCDEF)) % need[b].astype(np.uint64)).astype(np.int64)
-            wide = int(need[: band.max() + step + 1].max()) if len(b) else 1
+            wide = int(need[at[live]].max())
             cell = row * wide + g
             order = np.argsort(cell, kind="stable")
-            cell, hs, b = cell[order], mix(h[order] ^ U64(0x55AA)), b[order]
+            cell, hs = cell[order], mix(h[order] ^ U64(0x55AA))
             head = np.flatnonzero(np.diff(cell, prepend=-1))
-            if len(head):
-                total = np.add.reduceat(hs, head)
-                rows.append(cell[head] // wide)
-                keys.append(mix(total ^ mix((b[head] * 1_000_003 + cell[head] % wide).astype(np.uint64))))
+            total = np.add.reduceat(hs, head)
+            owner = cell[head] // wide
+            rows.append(owner)
+            keys.append(mix(total ^ mix((at[owner] * 1_000_003 + cell[head] % wide).astype(np.uint64))))
+            filled = np.bincount(owner, minlength=len(self.size))
+            partner = np.minimum(most, edge[at + 1] - 1)
+            unsure = live & (filled <= (self.size + partner) * (100 - percent) // (100 + percent))
+            if not unsure.any():
+                continue
+            pick = unsure[self.row]
+            row, hs = self.row[pick], mix(self.hash[pick] ^ U64(0x3C3C3C))
+            order = np.lexsort((hs, row))
+            row, hs = row[order], hs[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            first = place <= (self.size - -(-percent * self.size // 100))[row]
+            row, hs = row[first], hs[first]
+            rows.append(row)
+            keys.append(mix(hs ^ mix(~at[row].astype(np.uint64))))
         return np.concatenate(rows), np.concatenate(keys)
 
 

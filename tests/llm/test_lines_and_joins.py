@@ -177,3 +177,39 @@ def test_join_one_id_with_two_texts(spark):
     rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join(a[:-1])), (6, " ".join(b[1:])), (8, "c d e f")]
     got = {r.doc_id: r.component_id for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {5: 5, 6: 5, 7: 5, 8: 8}
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_linked_sets_share_a_key(percent):
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(percent)
+    texts, pairs = [], 0
+    for a in range(2, 41):
+        for b in range(a, a * 100 // percent + 1):
+            least = -(-percent * (a + b) // (100 + percent))
+            for both in {least, a}:
+                if least <= both <= a:
+                    for _ in range(40):  # new words each time: another assignment to groups
+                        w = [f"{r.getrandbits(60):x}" for _ in range(a + b - both)]
+                        texts += [" ".join(w[:a]), " ".join(w[a - both :])]
+                        pairs += 1
+    sets = jaccard_join.Sets(pa.chunked_array([texts]), 1)
+    row, key = sets.keys(percent)
+    mine = [set() for _ in texts]
+    for i, k in zip(row.tolist(), key.tolist()):
+        mine[i].add(k)
+    assert np.array_equal(np.bincount(row), [len(x) for x in mine])
+    assert sum(not mine[2 * i] & mine[2 * i + 1] for i in range(pairs)) == 0
+
+
+def test_join_of_small_sets(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(0, 1200, 2):
+        n = r.randrange(4, 12)
+        w = [f"{r.getrandbits(60):x}" for _ in range(n + 4)]
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w + ["more"]))]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, percent=80).collect()
+    assert {x.doc_id: x.component_id for x in got} == {i: i - i % 2 for i, _ in rows}

@@ -3,65 +3,100 @@
 Every source's documents form blocks.  Block k of a source with weight w is released at slot
 floor(k / w) and due at ceil((k + 1) / w); each slot takes the released block with the earliest
 deadline.  On one processor that meets every deadline, so at any slot a source has had its share
-to within less than one block.  With weights a/period the schedule repeats after ``period`` slots,
-so one period, simulated on the driver, gives the slot of every block by arithmetic.
+to within less than one block.  Weights are exact whole numbers over their sum, so nothing adds up
+over the run.  The driver deals the slots of all blocks, a block at a time; rows look theirs up.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import read
 
-PERIOD, BLOCK, ALPHA, BUCKET_ROWS = 1000, 8, 0.5, 4096
+BLOCK, ALPHA, BUCKET_ROWS, CHUNK, SMALL_BLOCKS = 8, 0.5, 4096, 256, 4_000_000
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of one period for each source: largest remainders, at least one for each."""
+    """Whole slots of one period for each source: the nearest by largest remainders, but at least one for each."""
     weights = {k: w for k, w in weights.items() if w > 0}
     if len(weights) > period:
         raise ValueError("more sources than slots in a period: raise the period")
-    total = sum(weights.values())
-    free = period - len(weights)
-    exact = {k: free * w / total for k, w in weights.items()}
-    out = {k: 1 + math.floor(x) for k, x in exact.items()}
-    rest = period - sum(out.values())
-    for k in sorted(exact, key=lambda k: (math.floor(exact[k]) - exact[k], k))[:rest]:
+    parts, out, free = whole(weights), {}, period
+    while True:  # sources below one slot get one, the others share the rest
+        total = sum(parts.values())
+        tiny = [k for k, w in parts.items() if w * free < total]
+        if not tiny:
+            break
+        out |= dict.fromkeys(tiny, 1)
+        free -= len(tiny)
+        parts = {k: w for k, w in parts.items() if k not in out}
+    out |= {k: w * free // total for k, w in parts.items()}
+    for k in sorted(parts, key=lambda k: (-(parts[k] * free % total), k))[: period - sum(out.values())]:
         out[k] += 1
     return out
 
 
-def one_period(share: dict[str, int], period: int) -> list[str]:
-    """The source of every slot of a period, by earliest deadline first among released blocks."""
-    names = sorted(share)
-    waiting = [(0, i, 0) for i in range(len(names))]  # release, source, block
-    heapq.heapify(waiting)
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    exact = {k: Fraction(w) for k, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    return {k: int(x * scale) for k, x in exact.items()}
+
+
+def deal(parts: list[int], counts: list[int], block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(source, number in its source, slot) of every block in slot order, and the first slot at which a source lacks a full block.
+
+    Earliest deadline first among released blocks.  A source that has run out leaves its next slot
+    empty and takes no more; the other blocks keep their releases and deadlines.
+    """
+    total = sum(parts)
+    waiting = [(0, i, 0) for i in range(len(parts))]  # release, source, block
     ready: list[tuple[int, int, int]] = []
-    out = []
-    for t in range(period):
+    source, number, slots = array("i"), array("q"), array("q")
+    t, short = 0, -1
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
         while waiting and waiting[0][0] <= t:
             _, i, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (math.ceil(Fraction((k + 1) * period, share[names[i]])), i, k))
+            heapq.heappush(ready, (-(-(k + 1) * total // parts[i]), i, k))
         deadline, i, k = heapq.heappop(ready)
         assert deadline > t, "a deadline was missed"
-        out.append(names[i])
-        if k + 1 < share[names[i]]:
-            heapq.heappush(waiting, ((k + 1) * period // share[names[i]], i, k + 1))
-    return out
+        if short < 0 and (k + 1) * block > counts[i]:
+            short = t
+        if k * block < counts[i]:
+            source.append(i)
+            number.append(k)
+            slots.append(t)
+            heapq.heappush(waiting, ((k + 1) * total // parts[i], i, k + 1))
+        t += 1
+    return np.array(source, np.int32), np.array(number, np.int64), np.array(slots, np.int64), max(short, 0)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", period: int = PERIOD, block: int = BLOCK, alpha: float = ALPHA) -> DataFrame:
+def one_period(share: dict[str, int], period: int) -> list[str]:
+    """The source of every slot of a period in which each source has its share of blocks."""
+    names = sorted(share)
+    source, _, slots, _ = deal([share[k] for k in names], [share[k] for k in names], 1)
+    assert np.array_equal(slots, np.arange(period))
+    return [names[i] for i in source]
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", period: int | None = None, block: int = BLOCK, alpha: float = ALPHA) -> DataFrame:
     """``docs`` with mix_slot, mix_position (from 0, without gaps) and mix_on_target.
 
-    Without ``weights``, a source weighs its count to the power ``alpha``.  No row is dropped: when a
-    source has run out, its slots stay empty and the others go on in their order; mix_on_target is
-    true up to the first slot at which some source had no full block left.  Rows of a source without
+    Without ``weights``, a source weighs its count to the power ``alpha``; there may be any number of
+    sources.  With a ``period`` the weights are rounded to whole slots of it.  No row is dropped: when a
+    source has run out, its share of the slots stays empty and the others go on at their pace;
+    mix_on_target is true up to the first slot at which some source had no full block left.  Rows of a source without
     a weight (or with one of 0) come after all others, in its own order, with a null slot.  Inside
     a source the order is by a hash of the id, then the id, then a hash of the row's text columns, so
     repeated rows tie and may swap.  A null source is a source named ''.  Existing columns
@@ -69,21 +104,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: st
     """
     docs = docs.drop("mix_slot", "mix_position", "mix_on_target")
     base = docs.withColumn("mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).withColumn("mix_key", F.xxhash64(F.col(id_col), F.lit(7)))
-    counts = {r[0]: r[1] for r in base.groupBy("mix_source").count().orderBy("mix_source").limit(period + 1).collect()} if weights is None else None
-    if counts is not None and len(counts) > period:
-        raise ValueError("more sources than slots in a period: raise the period")
+    per = {r[0]: r[1] for r in base.groupBy("mix_source").count().collect()}
     if weights is None:
-        weights = {k: n**alpha for k, n in counts.items()}
-    else:
-        counts = {r[0]: r[1] for r in base.where(F.col("mix_source").isin(list(weights))).groupBy("mix_source").count().collect()}
-    weights = {k: w for k, w in weights.items() if w > 0 and counts.get(k)}
-    share = shares(weights, period) if weights else {}
-    table = one_period(share, period) if share else []
-    places = {k: [t for t, s in enumerate(table) if s == k] for k in share}
-    # the first slot at which a source lacks a full block
-    short = min((n // block // share[k] * period + places[k][n // block % share[k]] for k, n in counts.items() if k in share), default=0)
+        weights = {k: n**alpha for k, n in per.items()}
+    weights = {k: w for k, w in weights.items() if w > 0 and per.get(k)}
+    names = sorted(weights)
+    counts = [per[k] for k in names]
+    parts = shares(weights, period) if period and names else whole(weights)
     spark = docs.sparkSession
-    bits = max(0, math.ceil(math.log2(max(1, sum(counts.values()) / BUCKET_ROWS))))
+    bits = max(0, math.ceil(math.log2(max(1, sum(counts) / BUCKET_ROWS))))
     width = min(bits, 40)
     keyed = base.withColumn("mix_bucket", F.shiftrightunsigned("mix_key", 64 - width) if width else F.lit(0).cast("long"))
     sizes = keyed.groupBy("mix_source", "mix_bucket").count()
@@ -92,28 +121,23 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: st
     local = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_key", F.col(id_col), tie)
     ranked = keyed.withColumn("mix_row", F.row_number().over(local))
     ranked = ranked.join(before, (F.col("mix_source") == F.col("s0")) & (F.col("mix_bucket") == F.col("b0"))).withColumn("mix_index", F.col("mix_before") + F.col("mix_row") - 1)
-    if not share:
+    if not names:
         return ranked.select(*docs.columns, F.lit(None).cast("long").alias("mix_slot"), F.lit(None).cast("long").alias("mix_position"), F.lit(False).alias("mix_on_target"))
-    # at most ``period`` slots in all: small enough to broadcast
-    names = sorted(share)
-    small = spark.createDataFrame([(k, i, places[k], share[k], counts[k]) for i, k in enumerate(names)], "s1 string, nr int, places array<int>, share long, total long")
-    # documents of each source in the slots before slot t of a period
-    had = [0] * len(names)
-    sums = []
-    for s in table:
-        sums.append(list(had))
-        had[names.index(s)] += 1
-    prior = spark.createDataFrame([(t, x) for t, x in enumerate(sums)], "t1 int, prior array<int>")
-    out = ranked.join(F.broadcast(small), F.col("mix_source") == F.col("s1"), "left")
-    number = F.floor(F.col("mix_index") / F.lit(block)).cast("long")
-    turn = F.floor(number / F.col("share")).cast("long")
-    slot = turn * period + F.element_at("places", (number % F.col("share") + 1).cast("int"))
-    out = out.withColumn("mix_slot", slot).withColumn("t", (F.col("mix_slot") % period).cast("int")).join(F.broadcast(prior), F.col("t") == F.col("t1"), "left")
-    turns = F.floor(F.col("mix_slot") / F.lit(period)).cast("long")
-    total = F.array(*[F.lit(int(counts[k])).cast("long") for k in names])
-    each = F.array(*[F.lit(int(share[k])).cast("long") for k in names])
-    ahead = F.zip_with(F.zip_with(each, F.col("prior"), lambda e, p: (e * turns + p) * block), total, lambda x, n: F.least(x, n))
-    position = F.aggregate(ahead, F.lit(0).cast("long"), lambda a, x: a + x) + F.col("mix_index") % block
+    source, number, slots, short = deal([parts[k] for k in names], counts, block)
+    rows = np.minimum(block, np.array(counts)[source] - number * block)
+    # rows of CHUNK blocks of a source, packed
+    order = np.lexsort((number, source))
+    at = np.flatnonzero(number[order] % CHUNK == 0)
+    edge = pa.array(np.append(at, len(order)), pa.int32())
+    packed = {c: pa.ListArray.from_arrays(edge, pa.array(x[order])) for c, x in (("slots", slots), ("starts", np.cumsum(rows) - rows))}
+    small = spark.createDataFrame(pa.table({"s1": pa.array([names[i] for i in source[order][at]], pa.string()), "k1": number[order][at] // CHUNK} | packed))
+    if len(source) <= SMALL_BLOCKS:
+        small = F.broadcast(small)
+    nth = F.floor(F.col("mix_index") / F.lit(block)).cast("long")
+    out = ranked.join(small, (F.col("mix_source") == F.col("s1")) & (F.floor(nth / F.lit(CHUNK)).cast("long") == F.col("k1")), "left")
+    place = (nth % CHUNK + 1).cast("int")
+    out = out.withColumn("mix_slot", F.element_at("slots", place)).withColumn("mix_start", F.element_at("starts", place))
+    position = F.col("mix_start") + F.col("mix_index") % block
     return out.withColumn("mix_position", position).withColumn("mix_on_target", F.coalesce(F.col("mix_slot") < short, F.lit(False))).select(*docs.columns, "mix_slot", "mix_position", "mix_on_target")
 
 

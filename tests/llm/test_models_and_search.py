@@ -228,3 +228,30 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     assert {x.doc_id for x in out} == before
     assert sorted(x.mix_position for x in out) == list(range(len(out)))
+
+
+@pytest.mark.parametrize("counts", [{"a": 7000} | {f"s{i}": 700 for i in range(20)}, {"a": 60_000} | {f"s{i:03}": 100 for i in range(200)}])
+def test_mix_follows_exact_weights(counts):
+    names, parts = sorted(counts), mixing.whole({k: n**0.5 for k, n in counts.items()})
+    part, n = np.array([parts[k] for k in names], object), [100 * counts[k] for k in names]
+    source, number, slots, short = mixing.deal(list(part), n, 8)
+    assert len(source) == sum(-(-x // 8) for x in n) and (np.diff(slots) > 0).all() and short > 20_000
+    share = (part / part.sum()).astype(float)
+    had = np.zeros(len(names))
+    for t in range(short):
+        assert slots[t] == t and number[t] == had[source[t]]
+        had[source[t]] += 1
+        assert np.abs(had - (t + 1) * share).max() < 1 + 1e-6
+    w = [Fraction(int(part[i]), int(part.sum())) for i in source[short:]]
+    assert all(int(k / x) <= s < -(-(k + 1) // x) for k, x, s in zip(number[short:].tolist(), w, slots[short:].tolist()))
+
+
+def test_mix_follows_given_weights(spark):
+    df = spark.range(12_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 6000, "a").otherwise(F.concat(F.lit("b"), F.col("id") % 10)).alias("source"))
+    weights = {"a": 0.6} | {f"b{i}": 0.04 for i in range(10)}
+    had = {k: 0 for k in weights}
+    for x in sorted((x for x in mixing.mix(df, weights=weights, block=2).collect() if x.mix_on_target), key=lambda x: x.mix_position):
+        had[x.source] += 1
+        if sum(had.values()) % 2 == 0:
+            assert all(abs(n - sum(had.values()) * weights[k]) < 2 + 1e-6 for k, n in had.items())
+    assert sum(had.values()) > 9000

@@ -1,8 +1,10 @@
 """Main text of HTML pages by tree scoring.
 
 Paragraph-like blocks earn points for their length and commas and pass them to their ancestors, all
-of it to the parent and less further up; a container's points are discounted by its link density.
-The best container and the siblings like it are kept.
+of it to the parent and less further up; a container's points are discounted by its link density and
+by a name of boilerplate.  The best container and the siblings like it are kept.  A name alone drops
+an element only if a class or id starts with it and the element holds no more than half of the page's
+paragraph points.
 """
 
 from __future__ import annotations
@@ -26,10 +28,13 @@ LEAF_LIKE = frozenset("p pre td blockquote h1 h2 h3 h4 h5 h6 li dd dt figcaption
 CONTAINER = frozenset("html body article section main div td blockquote center form fieldset ul ol dl table tbody tr figure details".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("table ul ol dl div section article main aside nav footer header form body html td th blockquote".split())
-BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert(?:isement|ising)|adsense|adbox|banner|breadcrumbs?|comments?|comment-?list|disqus|replies|respond|cookies?|cookie-?(?:bar|notice|banner|consent)|consent|gdpr|footer|header|masthead|menu|navbar|nav|navigation|newsletter|notice|notification|alert|pager|pagination|popup|modal|promo(?:tion)?|related|recommend(?:ed|ations)?|share|sharing|social|sidebar|side-?bar|side|skip|sponsor(?:ed)?|subscribe|signup|login|tags|toolbar|widget|outbrain|taboola|rail|shoutbox|legal|copyright)(?:$|[\s_-]|\d)",
-    re.I,
+BAD_WORD = (
+    r"(?:ads?|adverts?|advert(?:isement|ising)|adsense|adbox|banner|breadcrumbs?|comments?|comment-?list|disqus|replies|respond|cookies?|cookie-?(?:bar|notice|banner|consent)|consent|gdpr|footer|header|masthead|menu|navbar|nav|navigation|newsletter|notice|notification|alert|pager|pagination|popup|modal|promo(?:tion)?|related|recommend(?:ed|ations)?|share|sharing|social|sidebar|side-?bar|side|skip|sponsor(?:ed)?|subscribe|signup|login|tags|toolbar|widget|outbrain|taboola|rail|shoutbox|legal|copyright)(?:$|[_-]|\d)"
 )
+BAD_START, BAD_PART = re.compile(BAD_WORD, re.I), re.compile(r"[_-]" + BAD_WORD, re.I)
+# says of an element what is beside or below it
+MODIFIER = re.compile(r"(?:^|.*[_-])(?:has|no|not|with|without|is|in|hide|show)[_-]", re.I)
+DISCOUNT = 0.25
 GOOD_NAME = re.compile(r"article|body|content|entry|main|page|post|story|text|blog", re.I)
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search menu menubar alert alertdialog dialog form toolbar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -39,13 +44,25 @@ COMMA = re.compile(r"[,،、，]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "name", "dropped", "chars", "links", "points", "commas", "order")
+    __slots__ = ("tag", "parent", "kids", "name", "named", "dropped", "chars", "links", "points", "raw", "commas", "order")
 
     def __init__(self, tag: str, parent: Node | None, name: str = "", dropped: bool = False):
         self.tag, self.parent, self.name, self.dropped = tag, parent, name, dropped
         self.kids: list[Node | str] = []
-        self.chars = self.links = self.commas = self.order = 0
-        self.points = 0.0
+        self.chars = self.links = self.commas = self.order = self.named = 0
+        self.points = self.raw = 0.0
+
+
+def named(name: str) -> int:
+    """2 if a class or id starts with a word for boilerplate, 1 if one has such a word further on, otherwise 0."""
+    out = 0
+    for token in name.split():
+        if BAD_START.match(token):
+            return 2
+        m = BAD_PART.search(token)
+        if m and not MODIFIER.match(token[: m.start() + 1]):
+            out = 1
+    return out
 
 
 def parse(source: str) -> Node:
@@ -100,16 +117,17 @@ def parse(source: str) -> Node:
         if stack[-1].tag == "head" and tag in BLOCK:
             stack.pop()
         at = stack[-1]
-        name, dropped = "", tag in DROP
+        name, dropped, bad = "", tag in DROP, 0
         if m[3] and not m[3].isspace():
             attrs = {k.lower(): (a or b or c or "") for k, a, b, c in ATTR.findall(m[3])}
             name = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
             dropped = dropped or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in BAD_ROLE or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I))
-            if name and tag not in ("article", "main", "p", "span", "b", "i", "em", "strong", "a", "h1") and BAD_NAME.search(name):
-                dropped = True
+            if name and tag not in ("article", "main", "p", "span", "b", "i", "em", "strong", "a", "h1"):
+                bad = named(name)
         if tag == "header" and not any(x.tag in ("article", "main") for x in stack):
             dropped = True
         node = Node(tag, at, name, dropped)
+        node.named = bad
         at.kids.append(node)
         if tag in VOID:
             continue
@@ -132,6 +150,8 @@ def measure(root: Node) -> list[Node]:
         if x.dropped:
             continue
         x.order = len(nodes)
+        x.chars = x.links = x.commas = 0
+        x.raw = 0.0
         nodes.append(x)
         todo += [k for k in reversed(x.kids) if isinstance(k, Node)]
     for x in reversed(nodes):
@@ -151,9 +171,9 @@ def density(x: Node) -> float:
     return x.links / x.chars if x.chars else 0.0
 
 
-def best(root: Node) -> list[Node]:
-    """The container with most points and the siblings that belong to it."""
-    nodes = measure(root)
+def paragraphs(nodes: list[Node]) -> list[tuple[Node, Node | None, float]]:
+    """(block, container, points) of every paragraph-like block; raw becomes the sum of points in each element."""
+    out = []
     for x in nodes:
         own = sum(len(k.strip()) for k in x.kids if isinstance(k, str)) if x.tag in ("div", "section", "article", "main") else 0
         if x.tag in LEAF_LIKE or own > 0:
@@ -163,10 +183,39 @@ def best(root: Node) -> list[Node]:
             points = (1 + x.commas + min(size / 100, 3)) * (1 - density(x))
             if size < 25:
                 points *= size / 25
-            up, level = x if own else x.parent, 0
-            while up is not None and level < 6:
-                up.points += points / (1 if level == 0 else 2 * level)
-                up, level = up.parent, level + 1
+            out.append((x, x if own else x.parent, points))
+            x.raw += points
+    for x in reversed(nodes):
+        if x.parent is not None:
+            x.parent.raw += x.raw
+    return out
+
+
+def inside(x: Node | None, outer: Node) -> bool:
+    while x is not None and x is not outer:
+        x = x.parent
+    return x is outer
+
+
+def best(root: Node) -> list[Node]:
+    """The container with most points and the siblings that belong to it."""
+    nodes = measure(root)
+    found = paragraphs(nodes)
+    drop = [x for x in nodes if x.named == 2 and 2 * x.raw <= root.raw]
+    for x in drop:
+        x.dropped = True
+    if drop:
+        nodes = measure(root)
+        found = paragraphs(nodes)
+    for x, up, points in found:
+        if up is not x and x.named:
+            points *= DISCOUNT
+        level = 0
+        while up is not None and level < 6:
+            if up.named:
+                points *= DISCOUNT
+            up.points += points / (1 if level == 0 else 2 * level)
+            up, level = up.parent, level + 1
     marked = [x for x in nodes if x.tag in ("article", "main") and x.chars]
     for x in nodes:
         bonus = {"article": 1.6, "main": 1.5}.get(x.tag, 1.0) * (1.25 if GOOD_NAME.search(x.name) else 1.0)
@@ -175,6 +224,11 @@ def best(root: Node) -> list[Node]:
     top = max(pool, key=lambda x: (x.points, -x.order))
     if not top.points:
         return [root] if not marked else marked[:1]
+    # boilerplate by name around which the container has its own paragraphs
+    for x in nodes:
+        if x.named and not inside(top, x):
+            rest = top.raw - x.raw if inside(x, top) else top.raw
+            x.dropped = rest >= DISCOUNT * x.raw if x.named == 2 else rest > 0 and (x.raw < 1 or density(x) >= 0.25)
     # an enclosing article or main element is the container the author named
     up = top
     while up is not None:

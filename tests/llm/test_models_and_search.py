@@ -255,3 +255,26 @@ def test_mix_follows_given_weights(spark):
         if sum(had.values()) % 2 == 0:
             assert all(abs(n - sum(had.values()) * weights[k]) < 2 + 1e-6 for k, n in had.items())
     assert sum(had.values()) > 9000
+
+
+ARTICLE = "".join(f"<p>Paragraph {i}, long enough to count, with some commas, and words of the article.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "layout no-sidebar", "page with-header", "post has-tags", "legal-text", "sidebar-layout", "main-side", "social"])
+def test_html_name_of_wrapper_drops_no_article(name):
+    want = html_text.main_text(f"<div>{ARTICLE}</div>")
+    assert want.count("Paragraph") == 6
+    aside = "<div class='sidebar'><p>Side text, with, commas.</p></div><ul class='nav'><li><a href=x>Menu</a></li></ul>"
+    for page in ("<div class='{}'>{}</div>{}", "<article><div class='{}'>{}</div>{}</article>", "<div class='{}'><div>{}</div>{}</div>", "<section id=x><div id='{}'>{}</div></section>{}"):
+        assert html_text.main_text(page.format(name, ARTICLE, aside)) == want, page
+
+
+def test_html_names_of_parts():
+    want = html_text.main_text(f"<div>{ARTICLE}</div>")
+    for name in ("comments", "related-posts", "share", "post-tags", "cookie-notice"):
+        part = f"<div class='{name}'><a href=x>one</a>, <a href=y>two</a></div>"
+        assert html_text.main_text(f"<div>{ARTICLE}{part}</div>") == want
+    thread = "<div class='comments'>" + ARTICLE.replace("Paragraph", "Comment") * 2 + "</div>"
+    assert html_text.main_text(f"<article>{ARTICLE}{thread}</article>") == want
+    post = f"<div class='post has-tags'>{ARTICLE}</div>"
+    assert html_text.main_text(f"<div>{post}{post}{post}</div>").count("Paragraph") == 18

@@ -306,11 +306,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     at_component = in_cells(near.join(sizes, F.col("rep") == F.col("node")).select("component", "rep", "n"), "component", leaf_rows, "n")
     sets = several.select(F.col("rep").alias("node"), "packed")
     spread = at_component.join(sets, F.col("rep") == F.col("node")).select("cell", "component", "rep", "packed")
-    found = components(spread.groupBy("cell").applyInArrow(verify, "a long, b long"))
+    edges = spread.groupBy("cell").applyInArrow(verify, "a long, b long")
     # rows that repeat an id with different texts join their classes as well
+    kind = F.struct("s1", "s2", "n")
+    repeated = table.where("doc_id is not null").groupBy("doc_id").agg(F.min(kind).alias("low"), F.max(kind).alias("high")).where("low < high")
+    repeated = common.cut(repeated.select(F.col("doc_id").alias("id")))
+    twice = not repeated.isEmpty()
+    if twice:
+        of = table.where("n > 0").join(repeated, F.col("doc_id") == F.col("id")).select("s1", "s2", "n", "id").distinct()
+        edges = edges.unionByName(of.join(classes, ["s1", "s2", "n"]).select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    found = components(edges)
     named = classes.select("s1", "s2", "n", "rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n").alias("cn"), F.coalesce("component", "rep").alias("label"))
     out = table.join(named, (table.s1 == named.c1) & (table.s2 == named.c2) & (table.n == named.cn), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("label")).alias("component_id"))
+    own = F.col("doc_id")
+    if twice:  # an empty text of such an id too
+        out = out.join(repeated.join(found, F.col("id") == F.col("node")).select("id", "component"), F.col("doc_id") == F.col("id"), "left")
+        own = F.coalesce("component", "doc_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, own).otherwise(F.col("label")).alias("component_id"))
 
 
 ORACLE = f"""
@@ -342,8 +354,19 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id.  Word shingles of five, 80 %."""
-    named = join(docs, shingle=5, percent=80)
+    """One document of each group of near duplicates: that with the smallest id.  Word shingles of five, 80 %.
+
+    Rows that repeat an id with different texts are different documents here, so no text is lost with another's copy.
+    """
+    known = docs.where("doc_id is not null").withColumn("__text", F.xxhash64("text", F.col("text").isNull()))
+    several = known.groupBy("doc_id").agg(F.min("__text").alias("low"), F.max("__text").alias("high")).where("low < high")
+    if several.isEmpty():
+        known = known.withColumn("__nr", F.col("doc_id"))
+    else:  # numbered in the order of the ids
+        pairs = common.cut(known.select("doc_id", "__text").distinct().orderBy("doc_id", "__text"))
+        numbers = pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("__d long, __t long, __nr long")
+        known = common.cut(known.join(numbers, (F.col("doc_id") == F.col("__d")) & (F.col("__text") == F.col("__t"))))
+    named = join(known.select(F.col("__nr").alias("doc_id"), "text"), shingle=5, percent=80)
     keep = named.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    known = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    known = known.join(keep, F.col("__nr") == F.col("__id"), "left_semi").dropDuplicates(["__nr"])
+    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))

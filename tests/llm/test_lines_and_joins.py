@@ -213,3 +213,13 @@ def test_join_of_small_sets(spark):
         rows += [(i, " ".join(w)), (i + 1, " ".join(w + ["more"]))]
     got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, percent=80).collect()
     assert {x.doc_id: x.component_id for x in got} == {i: i - i % 2 for i, _ in rows}
+
+
+def test_one_id_in_classes_of_other_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a), (5, a), (5, b), (5, ""), (9, b), (8, "c d e f"), (8, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.join(df).collect())
+    assert got == [(3, 58, 3), (5, 0, 3), (5, 58, 3), (5, 58, 3), (7, 0, 7), (8, 0, 8), (8, 2, 8), (9, 58, 3)]
+    kept = sorted(((x.doc_id, x.text) for x in jaccard_join.stage(None, df.union(df), "").collect()), key=key)
+    assert kept == sorted([(3, a), (5, b), (5, ""), (8, "c d e f"), (8, None), (7, "")], key=key)

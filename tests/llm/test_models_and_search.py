@@ -278,3 +278,9 @@ def test_html_names_of_parts():
     assert html_text.main_text(f"<article>{ARTICLE}{thread}</article>") == want
     post = f"<div class='post has-tags'>{ARTICLE}</div>"
     assert html_text.main_text(f"<div>{post}{post}{post}</div>").count("Paragraph") == 18
+
+
+def test_mix_of_more_than_1000_sources(spark):
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("host"), F.col("id") % 1500).alias("source"))
+    out = mixing.mix(many).collect()
+    assert sorted(x.mix_position for x in out) == list(range(3000)) and {x.mix_slot for x in out} == set(range(1500))

@@ -5,8 +5,12 @@ from __future__ import annotations
 import gc
 import math
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +31,42 @@ def text_bytes(df: DataFrame, ratio: float) -> float:
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Checkpoints go where spark.checkpoint.dir says; only where it is unset (tests), to a local folder."""
+    """Checkpoints go where spark.checkpoint.dir says.  Only a local session without it (tests) gets a folder of its own; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or Path(tempfile.gettempdir(), f"mailsieve-checkpoints-{os.getuid()}").as_uri())
+        if where is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            where = Path(tempfile.gettempdir(), f"mailsieve-checkpoints-{os.getuid()}").as_uri()
+        sc.setCheckpointDir(where)
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name like ``name`` that is not taken (Spark's names know no case)."""
+    taken = {x.lower() for x in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def by_key(rows: DataFrame, per: DataFrame, keys: list[str], count: str, total: int, hot_keys: int = 50_000) -> DataFrame:
+    """``rows`` joined to the one row that ``per`` has for their ``keys``; no task gathers a frequent key.
+
+    ``count`` of ``per`` says how many of the ``total`` rows a key has at most.  Keys above total / hot_keys are
+    broadcast, and there can be no more than ``hot_keys`` of them; the others meet in a shuffle.
+    """
+    bound = max(2000, -(-total // hot_keys))
+    taken = [*rows.columns, *per.columns]
+    names = {k: fresh(f"per_{k}", taken) for k in keys}
+    value = fresh("per_value", [*taken, *names.values()])
+    values = [c for c in per.columns if c not in keys]
+    met = reduce(and_, [F.col(k) == F.col(n) for k, n in names.items()])
+    of = lambda part: part.select(*[F.col(k).alias(n) for k, n in names.items()], F.struct(*values).alias(value))
+    marked = rows.join(F.broadcast(of(per.where(F.col(count) > bound))), met, "left")
+    near = marked.where(F.col(value).isNotNull())
+    far = marked.where(F.col(value).isNull()).select(*rows.columns).join(of(per.where(F.col(count) <= bound)), met)
+    return near.unionByName(far).select(*rows.columns, *[F.col(value)[c].alias(c) for c in values])
 
 
 def cut(df: DataFrame, free: bool = False) -> DataFrame:
@@ -59,8 +94,11 @@ def doc_group(n: int, *cols: str):
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again."""
+    """``df`` written as Parquet to the shared folder and read again; the files go when the session ends."""
     shared_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}.parquet"
+    sc = df.sparkSession.sparkContext
+    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
     return df.sparkSession.read.parquet(path)

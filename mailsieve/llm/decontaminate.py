@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .textkit import BASE_WORD, SPACE, U64, Words, flat, mix, pieces, prefix, rolling_hash, row_of
+from .textkit import SPACE, U64, Words, flat, mix, pieces, row_of, window_hash
 
 SIMILARITY, WALKS, KEYS, BITS, BLOCK_WORDS = 0.8, 4, 16, 2, 2_000_000
 GAP = SPACE.copy()
@@ -48,14 +48,13 @@ def build(items: list[tuple[int, str]], similarity: float) -> Index:
     w = Words(*flat(pa.array([t for _, t in items], pa.string())), lower=True, gap=GAP)
     h, off = w.hashes(), w.rows
     grams: dict = {}
-    p = prefix(h, BASE_WORD)
     for i in range(len(items)):
         n = int(off[i + 1] - off[i])
         if n:
             grams.setdefault(untouched(n, edits(n, similarity)), []).append(i)
     table, bits = {}, {}
     for q, members in grams.items():
-        every = rolling_hash(p, q, BASE_WORD)
+        every = window_hash(h, q)
         at = np.concatenate([np.arange(off[i], off[i + 1] - q + 1) for i in members])
         item = np.repeat(members, [off[i + 1] - off[i] - q + 1 for i in members])
         order = np.argsort(every[at], kind="stable")
@@ -101,11 +100,10 @@ def matches(index: Index, column, walks: int = WALKS, keys: int = KEYS, bits: in
     """(row, item, edit distance) of every item found in a row of the batch, the best window of each."""
     w = Words(*flat(column), lower=True, gap=GAP)
     h = w.hashes()
-    p = prefix(h, BASE_WORD)
     row = row_of(w.rows)
     found = []
     for q, (hashes, item, place) in index.grams.items():
-        g = rolling_hash(p, q, BASE_WORD)
+        g = window_hash(h, q)
         at = np.flatnonzero(index.bits[q][(g >> U64(44)).astype(np.int64)])
         at = at[at + q <= w.rows[row[at] + 1]]
         lo, hi = np.searchsorted(hashes, g[at]), np.searchsorted(hashes, g[at], side="right")

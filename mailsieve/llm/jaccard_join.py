@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 from .superk import cuts, ordered
-from .textkit import BASE_WORD, U64, Words, flat, mix, prefix, rolling_hash, row_of, spans_hash, starts_inside
+from .textkit import U64, Words, flat, mix, row_of, sequence_hash, starts_inside, window_hash
 
 SHINGLE, PERCENT, DIMS, FAN, LEAF_ROWS, LEAF_SHINGLES = 3, 90, 256, 32, 1500, 5_000_000
 
@@ -59,10 +59,9 @@ class Sets:
         n = np.diff(w.rows)
         inside = np.flatnonzero(starts_inside(w.rows, size))
         rows = row_of(w.rows)
-        p = prefix(h, BASE_WORD)
-        s, row = rolling_hash(p, size, BASE_WORD)[inside] if len(inside) else h[:0], rows[inside]
+        s, row = window_hash(h, size)[inside] if len(inside) else h[:0], rows[inside]
         few = np.flatnonzero((n > 0) & (n < size))  # the whole sequence is one shingle
-        s = np.concatenate([s, spans_hash(p, w.rows[few], w.rows[few + 1], BASE_WORD)])
+        s = np.concatenate([s, sequence_hash(h, w.rows[few], w.rows[few + 1])])
         row = np.concatenate([row, few])
         order = np.lexsort((s, row))
         s, row = s[order], row[order]

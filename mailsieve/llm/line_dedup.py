@@ -1,12 +1,18 @@
 """Line dedup by winnowing over line hashes.
 
-A document is its sequence of non-blank lines.  Of every ``min_lines`` consecutive lines the one with
-the smallest hash is a fingerprint (winnowing: any shared run of that many lines has a fingerprint in
-common), and so is every line of ``min_words`` words or more.  Positions are joined on fingerprints
-that occur at least twice.  Around such a position the runs of ``min_lines`` lines that hold it are
-compared as wholes; overlapping runs chain, which extends a match both ways as far as it goes.  Of
-equal runs all but the first, by document id and line, are deleted.  No pairs of positions are made:
-each run meets its first occurrence only.
+A document is its sequence of non-blank lines.
+
+1. Select: of every ``min_lines`` consecutive lines the one with the smallest hash is a fingerprint, so any
+   shared run of that many lines has a fingerprint in common; a line of ``min_words`` words or more is
+   one too.  Only selected lines go on, each once, with hashes of the runs around it.
+2. Join: positions meet on fingerprints that occur at least twice.
+3. Extend: around such a position the runs of ``min_lines`` lines that it is the smallest of are compared, to its
+   left and to its right; overlapping runs chain, which extends a match both ways as far as it goes.
+4. Delete: of equal runs all but the first, by document id and line, go.
+
+No pairs of positions are made: each run meets its first occurrence only.  First occurrences come from
+sums made before the shuffle, and fingerprints or runs that are everywhere are broadcast (see ``by_key``).
+Equal lines have two equal hashes of 64 bits, by different seeds.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .textkit import BASE_BYTE, BASE_WORD, BYTE_KEY, SPACE, U64, Words, flat, mix, pieces, prefix, rolling_hash, row_of, sliding_min, spans_hash, starts_inside
+from .textkit import U64, Words, flat, mix, pieces, row_of, sliding_min, spans_hash, starts_inside, window_hash
 
 MIN_LINES, MIN_WORDS = 2, 8
 NEWLINE = 0x0A
@@ -46,50 +52,53 @@ class Lines:
         self.a, self.b = w.start[first], w.end[first + self.words[self.full] - 1]
         self.units = np.searchsorted(self.full, self.lines)
 
-    def hashes(self) -> np.ndarray:
-        return spans_hash(prefix(BYTE_KEY[self.data], BASE_BYTE), self.a, self.b, BASE_BYTE)
-
-
-def _runs(lines: Lines, min_lines: int, min_words: int):
-    """(row, fingerprint, run hash, first unit in the row, units) of every run, and of every long line."""
-    h = lines.hashes()
-    ok = np.flatnonzero(starts_inside(lines.units, min_lines))
-    low = sliding_min(h, min_lines)[ok] if len(ok) else h[:0]
-    run = rolling_hash(prefix(h, BASE_WORD), min_lines, BASE_WORD)[ok] if len(ok) else h[:0]
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return spans_hash(self.data, self.a, self.b, seed)
+
+
+def selected(lines: Lines, min_lines: int, min_words: int):
+    """(position, offsets of its runs, first unit of each run, its units, its hash) of every selected line."""
+    h, other = lines.hashes(), lines.hashes(1)
+    start = np.flatnonzero(starts_inside(lines.units, min_lines))
+    if len(start):
+        low = sliding_min(h, min_lines)[start]
+        at = start.copy()
+        for k in range(min_lines - 1, -1, -1):  # the leftmost of the smallest
+            at[h[start + k] == low] = (start + k)[h[start + k] == low]
+        run = window_hash(other, min_lines)[start]
+    else:
+        at, run = start, h[:0]
     long = np.flatnonzero(lines.words[lines.full] >= min_words)
-    at = np.concatenate([ok, long])
-    row = row_of(lines.units)[at]
-    size = np.concatenate([np.full(len(ok), min_lines), np.ones(len(long), np.int64)])
-    return row, np.concatenate([low, h[long]]), np.concatenate([run, mix(h[long] + U64(1))]), at - lines.units[row], size
+    mark, begin = np.concatenate([at, long]), np.concatenate([start, long])
+    size = np.concatenate([np.full(len(start), min_lines), np.ones(len(long), np.int64)])
+    key = np.concatenate([run, mix(other[long] + U64(1))])
+    order = np.argsort(mark, kind="stable")
+    mark, begin, size, key = mark[order], begin[order], size[order], key[order]
+    head = np.flatnonzero(np.diff(mark, prepend=-1))
+    return mark[head], np.append(head, len(mark)), begin, size, key, h
 
 
 def _emit(min_lines: int, min_words: int):
     def run(batches):
         for b in pieces(batches, 1):
             lines = Lines(b.column(1))
-            row, mark, key, at, size = _runs(lines, min_lines, min_words)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "mark": pa.array(mark.view(np.int64)),
-                    "run": pa.array(key.view(np.int64)),
-                    "id": b.column(0).take(pa.array(row)),
-                    "th": b.column(2).take(pa.array(row)),
-                    "at": pa.array(at.astype(np.int32)),
-                    "n": pa.array(size.astype(np.int32)),
-                }
-            )
+            mark, edge, begin, size, key, h = selected(lines, min_lines, min_words)
+            row = row_of(lines.units)[mark]
+            first = lines.units[np.repeat(row, np.diff(edge))]
+            runs = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array((begin - first).astype(np.int32)), pa.array(size.astype(np.int32))], ["run", "at", "n"])
+            yield pa.RecordBatch.from_pydict({"mark": pa.array(h[mark].view(np.int64)), "id": b.column(0).take(pa.array(row)), "th": b.column(2).take(pa.array(row)), "runs": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), runs)})
 
     return run
 
 
-def _cut(columns: list[str], text_col: str):
+def _cut(columns: list[str], text_col: str, spans_col: str):
     def run(batches):
         for b in pieces(batches, text_col):
             names = b.schema.names
             text = b.column(names.index(text_col))
             lines = Lines(text)
             gone = np.zeros(len(lines.full) + 1, np.int64)
-            spans = b.column(names.index("__spans"))
+            spans = b.column(names.index(spans_col))
             size = np.diff(spans.offsets.to_numpy()) if len(spans) else np.zeros(0, np.int64)
             flat_spans = spans.flatten()
             at, n = flat_spans.field(0).to_numpy().astype(np.int64), flat_spans.field(1).to_numpy().astype(np.int64)
@@ -122,25 +131,28 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_l
     Lines end at newlines and are compared without white space at their ends.  A line goes if it is in a run
     of ``min_lines`` consecutive non-blank lines, or alone has ``min_words`` words, and the same run
     or line occurs earlier: in a smaller id, or higher up in the same text.  Texts that lose nothing
-    are unchanged; blank lines stay; a text can become empty.  Null ids come last.  Rows with
-    one id are ordered by a hash of their text; rows equal in id and text count as one place.  Null stays
-    null.  Other columns pass through; n_lines and n_removed are replaced.
+    are unchanged; blank lines stay; a text can become empty, and one of any length is taken whole.  Null ids
+    come last.  Rows with one id are ordered by a hash of their text; rows equal in id and text count as one
+    place.  Null stays null.  Other columns pass through whatever their names; n_lines and n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
     text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
     kind = dict(docs.dtypes)[id_col]
-    rows = base.mapInArrow(_emit(min_lines, min_words), f"mark long, run long, id {kind}, th long, at int, n int")
-    twice = rows.groupBy("mark").count().where("count > 1").select(F.col("mark").alias("m"))
-    anchored = rows.join(twice, rows.mark == twice.m, "left_semi").withColumn("place", F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("i"), F.col("th").alias("t"), F.col("at").alias("a")))
-    first = anchored.groupBy("run").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("run").alias("r"), "first")
-    later = anchored.join(first, anchored.run == first.r).where(~F.col("place").eqNullSafe(F.col("first")))
-    spans = later.groupBy("id", "th").agg(F.collect_set(F.struct("at", "n")).alias("__spans")).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__spans")
-    keyed = docs.withColumn("__h", F.xxhash64(text)).withColumn(text_col, text)
-    out = keyed.join(spans, keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
-    none = F.array().cast("array<struct<at:int,n:int>>")
+    base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    rows = common.cut(base.mapInArrow(_emit(min_lines, min_words), f"mark long, id {kind}, th long, runs array<struct<run:long,at:int,n:int>>"))
+    marks = rows.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1")
+    met = common.by_key(rows, marks, ["mark"], "c", rows.count())
+    place = F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("i"), F.col("th").alias("t"), F.col("at").alias("a"))
+    met = common.cut(met.select("mark", "id", "th", F.inline("runs")).select("mark", "run", "n", place.alias("place")))
+    first = met.groupBy("mark", "run").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1")
+    later = common.by_key(met, first, ["mark", "run"], "c", met.count()).where("not (place <=> first)")
+    i, t, spans, h = (common.fresh(x, docs.columns) for x in ("span_id", "span_hash", "spans", "text_hash"))
+    cuts = later.groupBy(F.col("place.i").alias(i), F.col("place.t").alias(t)).agg(F.collect_set(F.struct("place.a", "n")).alias(spans))
+    keyed = docs.withColumn(h, F.xxhash64(text)).withColumn(text_col, text)
+    out = keyed.join(cuts, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(h) == F.col(t)), "left")
+    none = F.array().cast("array<struct<a:int,n:int>>")
     schema = keyed.select(*docs.columns).schema.add("n_lines", "long").add("n_removed", "long")
-    return out.select(*docs.columns, F.coalesce("__spans", none).alias("__spans")).mapInArrow(_cut(docs.columns, text_col), schema)
+    return out.select(*docs.columns, F.coalesce(spans, none).alias(spans)).mapInArrow(_cut(docs.columns, text_col, spans), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Substring dedup: words covered by a window that is repeated anywhere are removed.
 
 Super-k-mer partitioning: consecutive windows that share a minimiser travel as one packed string
-to the minimiser's bucket, where sorting counts the windows exactly (by two independent 64-bit
-hashes of the word sequence).
+to the minimiser's bucket, where sorting counts the windows exactly: words are numbered by their
+bytes, and windows with one hash are compared number by number.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .superk import Shape, repeated
-from .textkit import BASE_WORD, U64, Words, cover, mix, prefix, rolling_hash, starts_inside
+from .textkit import U64, Words, cover, first_equal, flat, mix, slices, starts_inside, window_hash
 
 WINDOW, GRAM = 35, 10
 
@@ -22,17 +22,24 @@ WINDOW, GRAM = 35, 10
 def _counts(have: dict, window: int) -> np.ndarray:
     """Mask over the windows of one bucket: the sequence starts at least twice here."""
     w = Words(have["text"], np.append(0, np.cumsum(have["length"])))
-    h = w.hashes()
-    inside = starts_inside(w.rows, window)
-    at = np.flatnonzero(inside)
-    one = rolling_hash(prefix(h, BASE_WORD), window, BASE_WORD)[at]
-    two = rolling_hash(prefix(mix(h ^ U64(0xA5A5A5A5A5A5A5A5)), BASE_WORD), window, BASE_WORD)[at]
-    order = np.argsort(one)
-    a, b = one[order], two[order]
-    same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    number = first_equal(w.data, w.start, w.end - w.start, w.hashes())
+    at = np.flatnonzero(starts_inside(w.rows, window))
+    h = window_hash(mix(number.astype(np.uint64) + U64(1)), window)[at]
+    order = np.argsort(h, kind="stable")
+    pair = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    one, two = order[pair], order[pair + 1]
+    equal = np.ones(len(pair), bool)
+    for k in range(window):
+        equal &= number[at[one] + k] == number[at[two] + k]
     out = np.zeros(len(at), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
+    out[one[equal]] = True
+    out[two[equal]] = True
+    if not equal.all():  # different windows with one hash are told apart one by one
+        seen: dict[bytes, int] = {}
+        for i in np.flatnonzero(np.isin(h, h[one[~equal]])):
+            j = seen.setdefault(number[at[i] : at[i] + window].tobytes(), i)
+            if j != i:
+                out[i] = out[j] = True
     return out
 
 
@@ -48,15 +55,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         raise ValueError("gram must not exceed window")
 
     def finish(table: pa.Table, row, start, end) -> pa.Table:
-        from .textkit import flat
-
         w = Words(*flat(table["text"]))
         gone = cover(len(w.start), w.rows[row] + start, w.rows[row] + end)
         kept, n_words, n_removed = [], np.diff(w.rows), []
         total = np.append(0, np.cumsum(gone))
         n_removed = total[w.rows[1:]] - total[w.rows[:-1]]
-        from .superk import slices
-
         stay = np.flatnonzero(~gone)
         size = (w.end - w.start)[stay] + 1
         data = slices(np.append(w.data, np.uint8(32)), w.start[stay], size)

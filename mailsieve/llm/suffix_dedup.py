@@ -1,11 +1,12 @@
 """Suffix-array dedup of bytes with a run-length index.
 
 Super-k-mers of the byte windows that may repeat meet in the bucket of their minimiser (see
-``superk``).  There, the different strings of the repetitive rest are indexed: a suffix array, its
-Burrows-Wheeler transform compressed to runs, and samples at the run ends only.  Streaming the text
-over those samples gives every position's longest match with its neighbour in suffix order (between
-two samples a match only gets shorter by one each byte), hence the intervals of suffixes that share
-a whole window, and the smallest document in each.
+``superk``).  There, the different strings of the repetitive rest are indexed: the runs of their
+Burrows-Wheeler transform and, at each run's head, a sample (a suffix, the suffix before it, their
+common length).  The suffix array lives only while the index is built.  Between two samples a match
+only gets shorter by one each byte, so streaming the text over them gives every position's matching
+statistics: the suffix before it and how long they match.  Positions linked by matches of a whole window
+are the occurrences of one string; a long match goes unless it is in the smallest document of these.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .superk import Shape, repeated
-from .textkit import BASE_BYTE, BYTE_KEY, U64, cover, flat, mix, prefix, slices, spans_hash, true_runs
+from .textkit import U64, cover, first_equal, flat, slices, spans_hash, true_runs
 
 SIZE, GRAM = 50, 20
 END = 0xFF  # no byte of UTF-8
@@ -59,20 +60,19 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RunIndex:
-    """Run-length compressed Burrows-Wheeler transform with samples at run ends."""
+    """Run-compressed Burrows-Wheeler transform of ``text``: its runs and a sample at every run's head."""
 
     def __init__(self, text: np.ndarray):
         self.text = text
-        self.sa, self.rank = suffix_array(text)
-        bwt = text[self.sa - 1]
+        sa, rank = suffix_array(text)
+        bwt = text[sa - 1]
         head = np.ones(len(text), bool)
         head[1:] = bwt[1:] != bwt[:-1]
-        zero = self.rank[0] if len(text) else 0  # the first suffix has no byte before it
+        zero = rank[0] if len(text) else 0  # the first suffix has no byte before it
         head[zero : zero + 2] = True
-        self.heads = np.flatnonzero(head)
-        self.run_bytes = bwt[self.heads]
-        at = self.sa[self.heads]
-        before = np.where(self.heads > 0, self.sa[self.heads - 1], -1)
+        heads = np.flatnonzero(head)
+        at, before = sa[heads], np.where(heads > 0, sa[heads - 1], -1)
+        del sa, rank, bwt, head
         order = np.argsort(at)
         self.at, self.before = at[order], before[order]
         self.length = self._common(self.at, self.before)
@@ -98,14 +98,18 @@ class RunIndex:
 
     def smallest(self, value: np.ndarray, size: int) -> np.ndarray:
         """For each position, the least ``value`` of all positions that share its next ``size`` bytes."""
-        length, _ = self.matching()
-        edge = np.flatnonzero(length[self.sa] < size)
-        if not len(edge) or edge[0]:
-            edge = np.append(0, edge)
-        least = np.minimum.reduceat(value[self.sa], edge)
-        out = np.empty(len(value), value.dtype)
-        out[self.sa] = np.repeat(least, np.diff(np.append(edge, len(value))))
-        return out
+        length, before = self.matching()
+        up = np.where(length >= size, before, np.arange(len(value)))
+        while True:  # to the first of the positions in suffix order, in doubled steps
+            far = up[up]
+            if np.array_equal(far, up):
+                break
+            up = far
+        order = np.lexsort((value, up))
+        head = np.append(True, np.diff(up[order]) != 0) if len(order) else np.zeros(0, bool)
+        least = np.empty(len(value), value.dtype)
+        least[up[order[head]]] = value[order[head]]
+        return least[up]
 
 
 def _marks(have: dict, size: int) -> np.ndarray:
@@ -113,14 +117,8 @@ def _marks(have: dict, size: int) -> np.ndarray:
     text, length, doc, rest, count = have["text"], have["length"], have["doc"], have["rest"], have["count"]
     end = np.cumsum(length)
     start = end - length
-    one = spans_hash(prefix(BYTE_KEY[text], BASE_BYTE), start, end, BASE_BYTE)
-    two = spans_hash(prefix(mix(BYTE_KEY)[text], BASE_BYTE), start, end, BASE_BYTE)
-    order = np.lexsort((doc, one))
-    same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-    head = np.append(True, ~same) if len(order) else np.zeros(0, bool)
-    string = np.empty(len(order), np.int64)
-    string[order] = np.cumsum(head) - 1
-    first = order[head]  # of each string, one with the smallest document
+    # of each different string, one with the smallest document
+    first, string = np.unique(first_equal(text, start, length, spans_hash(text, start, end), np.argsort(doc, kind="stable")), return_inverse=True)
     mask = np.repeat(doc > doc[first][string], count)
     # strings alone with their minimiser match no other string
     by = np.argsort(rest[first], kind="stable")

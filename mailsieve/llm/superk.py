@@ -4,16 +4,17 @@ Documents are hashed into small groups, so each task holds one group.  Consecuti
 the same minimiser (the smallest hash of the grams inside) form a super-k-mer, and equal windows
 have equal minimisers, so whatever can be equal meets in the bucket of its minimiser:
 
-1. every group sends the 32-bit rests of its minimisers to their buckets, packed;
+1. every group sends the 32-bit rests of its minimisers to their buckets, packed, none more than twice;
 2. a bucket answers with one bit for each: seen at least twice, or not;
 3. super-k-mers whose minimiser is repeated travel as packed strings to the bucket, and where
-   repeats inside a document count, so do those that hold their minimiser twice themselves;
+   repeats inside a document count, so do those that hold their minimiser twice themselves; of
+   strings with equal bytes in a group one travels with its text and settles the others;
 4. ``resolve`` finds the windows to mark there and answers with spans of units;
 5. the group marks its documents.
 
-Work and traffic are linear in the text.  Hot copies meet in a bucket as short strings of one
-minimiser; a document, source or copy group is never gathered as a whole.  A group or bucket holds
-a few MB whatever the corpus size, as their number follows the size of the input.
+Work and traffic are linear in the text.  A passage that is everywhere reaches its bucket once a
+group as a short string; a document, source or copy group is never gathered as a whole.  Hashes only
+bring strings together: what is marked is equal by bytes.
 """
 
 from __future__ import annotations
@@ -27,24 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .textkit import (
-    BASE_BYTE,
-    BASE_WORD,
-    BYTE_KEY,
-    U64,
-    Words,
-    flat,
-    prefix,
-    rolling_hash,
-    row_of,
-    slices,
-    sliding_min,
-    starts_inside,
-)
-
-
-#: Of a packed batch of super-k-mers, the text last.
-FIELDS = (("length", np.int32), ("row", np.int32), ("start", np.int32), ("count", np.int32), ("doc", np.int64), ("rest", np.uint32), ("text", np.uint8))
+from .textkit import U64, Words, first_equal, flat, gram_hash, row_of, slices, sliding_min, spans_hash, starts_inside, window_hash
+
+
+#: Of a packed batch of super-k-mers, the text last.  state: ASK, or KNOWN (marked, but others must see it), or SETTLED (marked, no text).
+FIELDS = (("length", np.int32), ("row", np.int32), ("start", np.int32), ("count", np.int32), ("doc", np.int64), ("rest", np.uint32), ("state", np.uint8), ("text", np.uint8))
+ASK, KNOWN, SETTLED = 0, 1, 2
 
 
 def squeeze(raw: bytes) -> bytes:
@@ -78,14 +67,14 @@ class Group:
             w = Words(data, offsets)
             self.words, self.data, self.rows = w, w.data, w.rows
             self.padded, self.wide = np.append(w.data, np.uint8(32)), (w.end - w.start) + 1  # a word and one space
-            self.prefix, self.base = prefix(w.hashes(), BASE_WORD), BASE_WORD
+            self.grams = window_hash(w.hashes(), shape.gram)
         else:
             self.data, self.rows = data, offsets
-            self.prefix, self.base = prefix(BYTE_KEY[data], BASE_BYTE), BASE_BYTE
+            self.grams = gram_hash(data, shape.gram)
 
     def runs(self, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Super-k-mers: first window, number of windows, minimiser."""
-        m = sliding_min(rolling_hash(self.prefix, shape.gram, self.base), shape.window - shape.gram + 1)
+        m = sliding_min(self.grams, shape.window - shape.gram + 1)
         if not len(m):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), m
         ok, row = starts_inside(self.rows, shape.window)[: len(m)], row_of(self.rows)[: len(m)]
@@ -97,12 +86,26 @@ class Group:
         return start, end - start, m[start]
 
     def keyed(self, shape: Shape):
+        """First window, number of windows, bucket and rest of every super-k-mer, by bucket and rest."""
         start, count, h = self.runs(shape)
-        self.twice = self.holds_twice(shape, start, count, h) if shape.inside else np.zeros(len(start), bool)
-        bucket, rest = (h % U64(shape.buckets)).astype(np.int64), ((h // U64(shape.buckets)) & U64(0xFFFFFFFF)).astype(np.uint32)
-        order = np.argsort(bucket, kind="stable")
-        self.twice = self.twice[order]
-        return start[order], count[order], bucket[order], rest[order]
+        twice = self.holds_twice(shape, start, count, h) if shape.inside else np.zeros(len(start), bool)
+        bucket, rest = h % U64(shape.buckets), (h // U64(shape.buckets)) & U64(0xFFFFFFFF)
+        key = (bucket << U64(32)) | rest
+        order = np.argsort(key, kind="stable")
+        key, self.twice = key[order], twice[order]
+        self.head = np.ones(len(key), bool)  # the first of each key, and the second as well
+        self.head[1:] = key[1:] != key[:-1]
+        self.sent = self.head.copy()
+        self.sent[1:] |= self.head[:-1]
+        return start[order], count[order], bucket[order].astype(np.int64), rest[order].astype(np.uint32)
+
+    def flagged(self, bucket: np.ndarray, bits: dict[int, bytes]) -> np.ndarray:
+        """Super-k-mers whose minimiser their bucket has seen twice."""
+        at, out = np.flatnonzero(self.sent), np.zeros(len(bucket), bool)
+        for k, a, b in cuts(bucket[at]):
+            if k in bits:
+                out[at[a:b]] = np.unpackbits(np.frombuffer(bits[k], np.uint8), count=b - a)
+        return out[np.maximum.accumulate(np.where(self.head, np.arange(len(bucket)), 0))]
 
     def holds_twice(self, shape: Shape, start: np.ndarray, count: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Super-k-mers in which the gram that is their minimiser starts twice: only these can repeat a window within."""
@@ -111,7 +114,7 @@ class Group:
         n = count + (shape.window - shape.gram)
         first = np.cumsum(n) - n
         at = np.repeat(start - first, n) + np.arange(int(n.sum()))
-        same = rolling_hash(self.prefix, shape.gram, self.base)[at] == np.repeat(h, n)
+        same = self.grams[at] == np.repeat(h, n)
         return np.add.reduceat(same.astype(np.int64), first) > 1
 
     def packed(self, shape: Shape, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +178,9 @@ def repeated(docs: DataFrame, shape_of: Callable[[int], Shape], resolve: Resolve
     grouped = docs.withColumn("g", common.doc_group(n)).select("g", "doc_id", "text")
 
     def anchors(table: pa.Table) -> pa.Table:
-        _, _, bucket, rest = Group(ordered(table), shape).keyed(shape)
+        group = Group(ordered(table), shape)
+        _, _, bucket, rest = group.keyed(shape)
+        bucket, rest = bucket[group.sent], rest[group.sent]
         found = [(k, rest[a:b].tobytes()) for k, a, b in cuts(bucket)]
         g = table["g"][0].as_py()
         return pa.table({"bucket": pa.array([k for k, _ in found], pa.int32()), "g": pa.array([g] * len(found), pa.int32()), "rests": pa.array([x for _, x in found], pa.binary())})
@@ -187,22 +192,28 @@ def repeated(docs: DataFrame, shape_of: Callable[[int], Shape], resolve: Resolve
             group = Group(table, shape)
             start, count, bucket, rest = group.keyed(shape)
             bits = dict(zip(right["bucket"].to_pylist(), right["bits"].to_pylist()))
+            go = np.flatnonzero(group.flagged(bucket, bits) | group.twice)
+            start, count, bucket, rest = start[go], count[go], bucket[go], rest[go]
             doc = table["doc_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
+            row = np.searchsorted(group.rows, start, side="right") - 1
+            text, length = group.packed(shape, start, count)
+            at = np.cumsum(length) - length
+            first = first_equal(text, at, length, spans_hash(text, at, at + length), np.argsort(doc[row], kind="stable"))
+            if shape.inside:
+                alone = np.bincount(first, minlength=len(first))[first] == 1
+                state = np.where(alone, ASK, np.where(first == np.arange(len(first)), KNOWN, SETTLED))
+            else:
+                state = np.where(doc[row] > doc[row[first]], SETTLED, ASK)
+            text = text[np.repeat(state != SETTLED, length)]
+            length = np.where(state != SETTLED, length, 0)
+            edge = np.append(0, np.cumsum(length))
+            fields = {"length": length, "row": row, "start": start - group.rows[row], "count": count, "doc": doc[row], "rest": rest, "state": state}
             g = left["g"][0].as_py()
             for k, a, b in cuts(bucket):
-                go = group.twice[a:b].copy()
-                if k in bits:
-                    go |= np.unpackbits(np.frombuffer(bits[k], np.uint8), count=b - a).view(bool)
-                at = a + np.flatnonzero(go)
-                if not len(at):
-                    continue
-                text, length = group.packed(shape, start[at], count[at])
-                row = np.searchsorted(group.rows, start[at], side="right") - 1
-                fields = {"length": length, "row": row, "start": start[at] - group.rows[row], "count": count[at], "doc": doc[row], "rest": rest[at], "text": text}
-                raw = b"".join(fields[name].astype(kind).tobytes() for name, kind in FIELDS)
+                raw = b"".join((text[edge[a] : edge[b]] if name == "text" else fields[name][a:b]).astype(kind).tobytes() for name, kind in FIELDS)
                 out["bucket"].append(k)
                 out["g"].append(g)
-                out["n"].append(len(at))
+                out["n"].append(b - a)
                 out["raw"].append(len(raw))
                 out["packed"].append(squeeze(raw))
         return pa.table({k: pa.array(v, pa.binary() if k == "packed" else pa.int32()) for k, v in out.items()})
@@ -215,9 +226,11 @@ def repeated(docs: DataFrame, shape_of: Callable[[int], Shape], resolve: Resolve
             for name, kind in FIELDS:
                 x = np.frombuffer(blob, kind, -1 if name == "text" else n_items, at)
                 at += x.nbytes
-                parts[name].append(x if name in ("text", "rest") else x.astype(np.int64))
+                parts[name].append(x if name in ("text", "rest", "state") else x.astype(np.int64))
         have = {name: np.concatenate(x) for name, x in parts.items()}
-        mask = resolve(have)
+        ask = have["state"] != SETTLED
+        mask = np.repeat(have["state"] != ASK, have["count"])
+        mask[np.repeat(ask, have["count"])] |= resolve({name: x if name == "text" else x[ask] for name, x in have.items()})
         first = np.cumsum(have["count"]) - have["count"]
         head = mask.copy()
         inner = np.ones(len(mask), bool)

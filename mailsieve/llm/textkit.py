@@ -6,39 +6,23 @@ outside 0x20 and 0x09-0x0D, which never split a multi-byte character.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_rng = np.random.Generator(np.random.PCG64(0x5EED))
-BYTE_KEY = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-BASE_BYTE, BASE_WORD = 0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB53
+STEP, JOIN = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+SEEDS = (U64(0x243F6A8885A308D3), U64(0x13198A2E03707345))
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # of the first k bytes of a chunk
+LONG = 4096  # bytes from which a span is hashed by the library
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 2**64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(n, b, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n."""
-    up, down = _powers(base, 1 << max(10, (n + 1).bit_length()))
-    return up[:n], down[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     h = h ^ (h >> U64(33))
@@ -64,24 +48,69 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def prefix(values: np.ndarray, base: int) -> np.ndarray:
-    """P[i] = sum of values[j] * base**j for j < i, modulo 2**64."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values))[0], out=out[1:])
-    return out
-
-
-def spans_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    down = powers(base, len(p))[1]
-    return mix((p[end] - p[start]) * down[start] + (end - start).astype(np.uint64))
+def chunks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as one number; zeros after the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+
+
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes of every span.
+
+    Chunks of eight bytes are chained through a bijective finaliser: unlike a polynomial modulo
+    2**64, nothing cancels out in texts of a regular structure.
+    """
+    left = np.asarray(end - start, np.int64)
+    h = mix(left.astype(np.uint64) + SEEDS[seed])
+    for i in np.flatnonzero(left > LONG):
+        h[i] ^= U64(int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([seed])).digest(), "little"))
+    live = np.flatnonzero((left > 0) & (left <= LONG))
+    at, left, eight = np.asarray(start)[live], left[live], chunks(data)
+    while len(live):
+        h[live] = mix(h[live] ^ (eight[at] & MASK[np.minimum(left, 8)]))
+        go = np.flatnonzero(left > 8)
+        live, at, left = live[go], at[go] + 8, left[go] - 8
+    return h
 
 
-def rolling_hash(p: np.ndarray, size: int, base: int) -> np.ndarray:
-    """Hash of every run of ``size`` values, by its start."""
-    n = len(p) - size
+def gram_hash(data: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` bytes, by its start."""
+    n = len(data) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    eight = chunks(data)
+    if size < 8:
+        return mix((eight[:n] & MASK[size]) ^ SEEDS[0])
+    h = np.full(n, SEEDS[0])
+    for at in [*range(0, size - 8, 8), size - 8]:
+        h ^= eight[at : at + n]
+        h *= STEP
+        h ^= h >> U64(31)
+    return mix(h)
+
+
+def window_hash(values: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` values, by its start: halves are joined and mixed, level by level."""
+    n = len(values) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    return mix((p[size:] - p[:n]) * powers(base, n)[1])
+    h, span = values, 1
+    while span * 2 <= size:
+        h = mix(h[:-span] * JOIN + (h[span:] ^ U64(span)))
+        span *= 2
+    return mix(h[:n] * STEP + h[size - span : size - span + n])
+
+
+def sequence_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the values of every span; for short spans."""
+    h = mix((end - start).astype(np.uint64) + SEEDS[1])
+    live = np.flatnonzero(end > start)
+    k = 0
+    while len(live):
+        h[live] = mix(h[live] * JOIN + values[start[live] + k])
+        k += 1
+        live = live[start[live] + k < end[live]]
+    return h
 
 
 class Words:
@@ -104,7 +133,7 @@ class Words:
         self.rows = np.searchsorted(self.start, offsets)
 
     def hashes(self) -> np.ndarray:
-        return spans_hash(prefix(BYTE_KEY[self.data], BASE_BYTE), self.start, self.end, BASE_BYTE)
+        return spans_hash(self.data, self.start, self.end)
 
     def text(self, a: int, b: int) -> bytes:
         """Words a to b of one row, joined by one space."""
@@ -143,6 +172,39 @@ def slices(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return data[np.repeat(start - first, length) + np.arange(total)]
 
 
+def same_bytes(data: np.ndarray, one: np.ndarray, two: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each pair of spans of ``length`` bytes from ``one`` and ``two`` whether their bytes are equal."""
+    if not len(length):
+        return np.zeros(0, bool)
+    wrong = slices(data, one, length) != slices(data, two, length)
+    total = np.append(0, np.cumsum(wrong))
+    end = np.cumsum(length)
+    return total[end] == total[end - length]
+
+
+def first_equal(data: np.ndarray, start: np.ndarray, length: np.ndarray, h: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """For each span the index of the first one, in ``order``, with the same bytes; ``h`` holds their hashes.
+
+    Hashes only propose: every span is compared with its first by bytes, and where two different spans
+    have one hash these are told apart one by one.
+    """
+    n = len(start)
+    order = np.arange(n) if order is None else order
+    by = order[np.argsort(h[order], kind="stable")]
+    head = np.ones(n, bool)
+    head[1:] = h[by[1:]] != h[by[:-1]]
+    out = np.empty(n, np.int64)
+    out[by] = by[np.maximum.accumulate(np.where(head, np.arange(n), 0))]
+    wrong = length != length[out]
+    ok = np.flatnonzero(~wrong & (out != np.arange(n)))
+    wrong[ok] = ~same_bytes(data, start[ok], start[out[ok]], length[ok])
+    if wrong.any():
+        seen: dict[bytes, int] = {}
+        for i in by[np.isin(h[by], h[wrong])]:
+            out[i] = seen.setdefault(data[start[i] : start[i] + length[i]].tobytes(), i)
+    return out
+
+
 def cover(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Mask over n positions covered by the spans [start, end)."""
     d = np.zeros(n + 1, np.int64)

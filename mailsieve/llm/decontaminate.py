@@ -1,17 +1,25 @@
 """Benchmark decontamination: CGK embedding and bit-sampling LSH over item-sized windows.
 
-Words (split at white space and ASCII punctuation, A-Z lower-cased) are the symbols.  Of n words, e
-may be edited, so some run of q = ceil((n - e) / (e + 1)) words of an item is untouched: windows are
-placed where a document has such a run of an item, on its diagonal.  The CGK random walk copies a
-sequence's current symbol at every step and moves on by a random bit of (step, symbol), which maps
-edit distance to Hamming distance; a key samples a few steps of a walk, and several walks and keys
-reach the target recall.  Windows that share a key with their item are verified by exact
-edit distance against any stretch of the document around them.
+Words (split at white space and ASCII punctuation, A-Z lower-cased) are the symbols.  The CGK random walk
+copies a sequence's current symbol at every step and moves on by a random bit of (step, symbol), which maps
+edit distance to Hamming distance: after an edit two walks soon meet again and copy the same symbols.  A
+key samples a few steps of one stretch of a walk; every item has the keys of several walks all along its
+length.  A window of an item's size starts at every word of a document.  Its walk needs no cutting, as an item
+only has keys of steps at which its own walk is inside; and walks from neighbouring starts that
+have met stay together, so a stretch is walked once for all windows that share it.  A window that has a
+key of an item is a candidate, on the diagonal of that key; candidates are verified by exact edit
+distance against any stretch of the document around them.
+
+Only stretches of a document that could hold any item are walked: of n words with e edits, n - 2e - 1 pairs
+of neighbours stay, so stretches with too few pairs of the benchmark can hold none.  This screen
+loses nothing and names no item.  Items too short for an edit must be equal word by word and are looked up whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .textkit import SPACE, U64, Words, flat, mix, pieces, row_of, window_hash
+from .textkit import JOIN, SPACE, U64, Words, cover, flat, mix, pieces, row_of, sequence_hash, window_hash
 
-SIMILARITY, WALKS, KEYS, BITS, BLOCK_WORDS = 0.8, 4, 16, 2, 2_000_000
+SIMILARITY, WALKS, KEYS, SAMPLES, BLOCK_WORDS = 0.8, 16, 2, 3, 200_000
+STRETCH = 8  # steps of a walk from which a key samples
+SCREEN = 8  # pairs of neighbours that are counted at once
+CELLS = 1_000_000  # of the matrices of edit distances at once
 GAP = SPACE.copy()
 GAP[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
 
@@ -30,8 +41,38 @@ def edits(n: int, similarity: float) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
-def untouched(n: int, e: int) -> int:
-    return max(1, -(-(n - e) // (e + 1)))
+@lru_cache(maxsize=4096)
+def sampled(seed: int, m: int, keys: int, samples: int) -> tuple[np.uint64, list[tuple[int, ...]], np.ndarray]:
+    """Of a walk's stretch: the random multiplier that gives the bits, the steps that each key samples, and the keys' salts."""
+    rng = np.random.default_rng([seed, m])
+    odd = U64(int(rng.integers(2**62)) * 2 + 1)
+    return odd, [tuple(sorted(rng.choice(STRETCH, samples, replace=False).tolist())) for _ in range(keys)], rng.integers(0, 2**63, keys).astype(np.uint64)
+
+
+def walk(x: np.ndarray, start: np.ndarray, seed: int, keys: int, samples: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions at the first sampled step, keys) of the walks over ``x`` from the sorted ``start``, stretch by stretch.
+
+    Words are not 0; a 0 ends a sequence and stops a walk.  Walks that have met go on as one.
+    """
+    at, m = start, 0
+    while len(at):
+        odd, steps, salt = sampled(seed, m, keys, samples)
+        r = x * odd
+        places, symbols = [], []
+        for t in range(STRETCH):
+            s = r[at]
+            places.append(at)
+            symbols.append(s)
+            at = at + ((s >> U64(63 - t)) & U64(1)).astype(np.int64)
+        for chosen, z in zip(steps, salt):
+            inside = np.flatnonzero(symbols[chosen[-1]])
+            h = np.full(len(inside), z)
+            for t in chosen:
+                h = h * JOIN + symbols[t][inside]
+            yield places[chosen[0]][inside], mix(h)
+        at = at[np.diff(at, prepend=-1) != 0]
+        at = at[x[at] != 0]
+        m += 1
 
 
 @dataclass
@@ -39,45 +80,51 @@ class Index:
     ids: np.ndarray
     words: np.ndarray  # all items' word hashes
     offsets: np.ndarray
-    similarity: float
-    grams: dict  # q -> (sorted hashes, item, position)
-    bits: dict  # q -> bitmap of hashes
+    edits: np.ndarray  # that each item allows
+    exact: dict  # size -> (sorted hashes, item) of the items that allow none
+    keys: np.ndarray  # sorted
+    item: np.ndarray  # of each key
+    place: np.ndarray  # of each key, in its item
+    bits: np.ndarray  # of the keys
+    pairs: np.ndarray  # of neighbouring words
+    need: int  # pairs of SCREEN that some item leaves at least
+    reach: int  # words that an item can span at most
+
+
+def bitmap(h: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << max(14, min(22, (8 * len(h)).bit_length())), bool)
+    out[(h >> U64(65 - len(out).bit_length())).astype(np.int64)] = True
+    return out
+
 
+def maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return bits[(h >> U64(65 - len(bits).bit_length())).astype(np.int64)]
 
-def build(items: list[tuple[int, str]], similarity: float) -> Index:
+
+def build(items: list[tuple[int, str]], similarity: float, walks: int = WALKS, keys: int = KEYS, samples: int = SAMPLES) -> Index:
     w = Words(*flat(pa.array([t for _, t in items], pa.string())), lower=True, gap=GAP)
-    h, off = w.hashes(), w.rows
-    grams: dict = {}
-    for i in range(len(items)):
-        n = int(off[i + 1] - off[i])
-        if n:
-            grams.setdefault(untouched(n, edits(n, similarity)), []).append(i)
-    table, bits = {}, {}
-    for q, members in grams.items():
-        every = window_hash(h, q)
-        at = np.concatenate([np.arange(off[i], off[i + 1] - q + 1) for i in members])
-        item = np.repeat(members, [off[i + 1] - off[i] - q + 1 for i in members])
-        order = np.argsort(every[at], kind="stable")
-        table[q] = (every[at][order], item[order], (at - off[item])[order])
-        seen = np.zeros(1 << 20, bool)
-        seen[(every[at] >> U64(44)).astype(np.int64)] = True
-        bits[q] = seen
-    return Index(np.array([i for i, _ in items]), h, off, similarity, table, bits)
-
-
-def walk(words: np.ndarray, start: np.ndarray, n: int, limit: np.ndarray, seed: int, steps: np.ndarray) -> np.ndarray:
-    """CGK embedding of words[start:start+n], at the sampled steps only; 0 after the end."""
-    at = np.zeros(len(start), np.int64)
-    out = np.zeros((len(start), len(steps)), np.uint64)
-    col = 0
-    for j in range(int(steps[-1]) + 1):
-        live = (at < n) & (start + at < limit)
-        symbol = np.where(live, words[np.minimum(start + at, len(words) - 1)], U64(0))
-        while col < len(steps) and steps[col] == j:
-            out[:, col] = symbol
-            col += 1
-        at += ((mix(symbol ^ U64(seed * 1_000_003 + j)) >> U64(17)) & U64(1)).astype(np.int64)
-    return out
+    h, off = np.maximum(w.hashes(), U64(1)), w.rows
+    size = np.diff(off)
+    allowed = np.array([edits(int(n), similarity) for n in size], np.int64)
+    exact = {}
+    for n in np.unique(size[(size > 0) & (allowed == 0)]):
+        item = np.flatnonzero((size == n) & (allowed == 0))
+        whole = window_hash(h, int(n))[off[item]]
+        order = np.argsort(whole, kind="stable")
+        exact[int(n)] = (whole[order], item[order])
+    long = np.flatnonzero(allowed > 0)
+    # each item's words and a 0
+    x = np.zeros(len(h) + len(size), np.uint64)
+    x[np.arange(len(h)) + row_of(off)] = h
+    begin = off[:-1] + np.arange(len(size))
+    found = [np.stack([k, at.astype(np.uint64)]) for seed in range(walks) for at, k in walk(x, begin[long], seed, keys, samples)]
+    key, at = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.uint64)
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], at[order].astype(np.int64)
+    item = np.searchsorted(begin, at, side="right") - 1
+    pair = window_hash(h, 2)[np.concatenate([np.arange(off[i], off[i + 1] - 1) for i in long])] if len(long) else h[:0]
+    spare = [-(-int(size[i] - 2 * allowed[i] - 1) // -(-int(size[i] + allowed[i] - 1) // SCREEN)) for i in long]
+    return Index(np.array([i for i, _ in items]), h, off, allowed, exact, key, item, at - begin[item], bitmap(key), bitmap(pair), min(spare, default=0), int((size + allowed)[long].max(initial=0)))
 
 
 def distance(item: np.ndarray, words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -96,58 +143,81 @@ def distance(item: np.ndarray, words: np.ndarray, start: np.ndarray, stop: np.nd
     return line.min(axis=1)
 
 
-def matches(index: Index, column, walks: int = WALKS, keys: int = KEYS, bits: int = BITS) -> list[tuple[int, int, int]]:
-    """(row, item, edit distance) of every item found in a row of the batch, the best window of each."""
+def lookup(sorted_keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index in ``h``, index in the keys) of all that are equal."""
+    lo, hi = np.searchsorted(sorted_keys, h), np.searchsorted(sorted_keys, h, side="right")
+    each = hi - lo
+    of = np.repeat(np.arange(len(h)), each)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(lo, each)
+
+
+def screened(index: Index, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Mask over the words: what lies in or near a stretch with as many pairs of the benchmark as some item leaves."""
+    hit = np.zeros(len(h) + SCREEN, np.int64)
+    if len(h) > 1:
+        hit[: len(h) - 1] = maybe(index.pairs, window_hash(h, 2))
+        hit[rows[1:-1][(rows[1:-1] > 0) & (rows[1:-1] < len(h))] - 1] = 0
+    total = np.append(0, np.cumsum(hit))
+    hot = np.flatnonzero(total[SCREEN : SCREEN + len(h)] - total[: len(h)] >= index.need)
+    row = row_of(rows)[hot]
+    return cover(len(h), np.maximum(hot - index.reach, rows[row]), np.minimum(hot + SCREEN + index.reach, rows[row + 1]))
+
+
+def candidates(index: Index, h: np.ndarray, rows: np.ndarray, walks: int, keys: int, samples: int, screen: bool) -> np.ndarray:
+    """Distinct (row, item, first word of the window) whose windows share a key with the item."""
+    word = np.flatnonzero(screened(index, h, rows)) if screen else np.arange(len(h))
+    if not len(word) or not len(index.keys):
+        return np.zeros((0, 3), np.int64)
+    row = row_of(rows)
+    ends = np.ones(len(word), bool)
+    ends[:-1] = (np.diff(word) != 1) | (row[word[1:]] != row[word[:-1]])
+    place = np.arange(len(word)) + np.cumsum(ends) - ends
+    x, origin = np.zeros(place[-1] + 2, np.uint64), np.zeros(place[-1] + 2, np.int64)
+    x[place], origin[place] = h[word], word
+    out = []
+    for seed in range(walks):
+        for at, key in walk(x, place, seed, keys, samples):
+            some = np.flatnonzero(maybe(index.bits, key))
+            of, hit = lookup(index.keys, key[some])
+            if len(of):
+                at0 = origin[at[some[of]]]
+                out.append(np.unique(np.stack([row[at0], index.item[hit], at0 - index.place[hit]], axis=1), axis=0))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+
+
+def matches(index: Index, column, walks: int = WALKS, keys: int = KEYS, samples: int = SAMPLES, screen: bool = True) -> list[tuple[int, int, int]]:
+    """(row, item, edit distance) of every item found in a row of the batch, the best stretch of each."""
     w = Words(*flat(column), lower=True, gap=GAP)
-    h = w.hashes()
+    h = np.maximum(w.hashes(), U64(1))
     row = row_of(w.rows)
-    found = []
-    for q, (hashes, item, place) in index.grams.items():
-        g = window_hash(h, q)
-        at = np.flatnonzero(index.bits[q][(g >> U64(44)).astype(np.int64)])
-        at = at[at + q <= w.rows[row[at] + 1]]
-        lo, hi = np.searchsorted(hashes, g[at]), np.searchsorted(hashes, g[at], side="right")
-        some = hi > lo
-        at, lo, hi = at[some], lo[some], hi[some]
-        each = hi - lo
-        pos = np.repeat(at, each)
-        hit = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(lo, each)
-        if len(hit):
-            found.append(np.unique(np.stack([row[pos], item[hit], pos - place[hit]], axis=1), axis=0))
-    if not found:
-        return []
-    todo = np.concatenate(found)
-    size = np.diff(index.offsets)[todo[:, 1]]
     best: dict[tuple[int, int], int] = {}
-    for n in np.unique(size):
-        n = int(n)
-        e = edits(n, index.similarity)
-        part = todo[size == n]
-        for a in range(0, len(part), 20_000):
-            block = part[a : a + 20_000]
-            r, i, s = block.T
-            low, limit = w.rows[r], w.rows[r + 1]
-            begin = np.maximum(s, low)
-            passed = np.zeros(len(block), bool)
-            names = np.unique(i)
-            nr = np.searchsorted(names, i)
-            for k in range(walks):
-                rng = np.random.default_rng(n * 97 + k)
-                # most walks end before step 2n: sampled steps lie where both have symbols
-                steps = np.sort(rng.integers(0, max(1, 2 * n), keys * bits))
-                mine = walk(h, begin, n, limit, k, steps)
-                theirs = walk(index.words, index.offsets[names], n, index.offsets[names + 1], k, steps)[nr]
-                same = (mine == theirs)[:, rng.permutation(keys * bits)].reshape(len(block), keys, bits)
-                passed |= same.all(axis=2).any(axis=1)
-            r, i, s, low, limit = r[passed], i[passed], s[passed], low[passed], limit[passed]
-            for x in np.unique(i):
-                mine = i == x
-                item = index.words[index.offsets[x] : index.offsets[x + 1]]
-                begin, end = np.maximum(s[mine] - e, low[mine]), np.minimum(s[mine] + n + e, limit[mine])
-                for rr, d in zip(r[mine], distance(item, h, begin, end)):
-                    if d <= e:
-                        pair = (int(rr), int(x))
-                        best[pair] = min(best.get(pair, n), int(d))
+    for n, (whole, item) in index.exact.items():
+        g = window_hash(h, n)
+        at = np.flatnonzero(np.isin(g, whole))
+        at = at[at + n <= w.rows[row[at] + 1]]
+        of, hit = lookup(whole, g[at])
+        best |= dict.fromkeys(zip(row[at[of]].tolist(), item[hit].tolist()), 0)
+    todo = candidates(index, h, w.rows, walks, keys, samples, screen)
+    if len(todo):
+        r, i, s = todo.T
+        size = np.diff(index.offsets)
+        # windows of one item whose starts lie within its size are one stretch
+        head = np.append(True, (np.diff(r) != 0) | (np.diff(i) != 0) | (np.diff(s) > size[i[1:]]))
+        first = np.flatnonzero(head)
+        last = np.append(first[1:], len(r)) - 1
+        r, i = r[first], i[first]
+        begin = np.maximum(s[first] - index.edits[i], w.rows[r])
+        stop = np.minimum(s[last] + size[i] + index.edits[i], w.rows[r + 1])
+        for x in np.unique(i):
+            part = np.flatnonzero(i == x)
+            part = part[np.argsort((stop - begin)[part], kind="stable")]
+            while len(part):
+                # as many stretches as fit, the widest last
+                fit = max(1, int(np.searchsorted((stop - begin)[part] * np.arange(1, len(part) + 1), CELLS, side="right")))
+                now, part = part[:fit], part[fit:]
+                for rr, d in zip(r[now].tolist(), distance(index.words[index.offsets[x] : index.offsets[x + 1]], h, begin[now], stop[now]).tolist()):
+                    if d <= index.edits[x]:
+                        best[rr, int(x)] = min(best.get((rr, int(x)), d), d)
     return [(r, i, d) for (r, i), d in best.items()]
 
 
@@ -170,10 +240,10 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     An item is held if some stretch of the document is within floor((1 - similarity) * words) word
     edits of it; which windows are verified depends on the LSH, so recall is high but not 1.  Null and
-    empty texts and items hold nothing.  Repeated rows give repeated results; items that repeat an id
-    count alone.  An empty benchmark gives no rows.  The benchmark is taken in blocks of
-    at most ``block_words`` words, each sent to all tasks and each a pass over the documents.  Other
-    columns are not looked at.
+    empty texts and items hold nothing; texts of any length are taken whole.  Repeated rows give repeated
+    results; items that repeat an id count alone.  An empty benchmark gives no rows.  The benchmark is taken in
+    blocks of at most ``block_words`` words or one item, each sent to all tasks and each a pass over the
+    documents.  Other columns are not looked at, whatever their names.
     """
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

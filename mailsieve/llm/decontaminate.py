@@ -10,13 +10,14 @@ have met stay together, so a stretch is walked once for all windows that share i
 key of an item is a candidate, on the diagonal of that key; candidates are verified by exact edit
 distance against any stretch of the document around them.
 
-Only stretches of a document that could hold any item are walked: of n words with e edits, n - 2e - 1 pairs
-of neighbours stay, so stretches with too few pairs of the benchmark can hold none.  This screen
-loses nothing and names no item.  Items too short for an edit must be equal word by word and are looked up whole.
+Two bounds save work and lose nothing.  Of n words with e edits n - 2e - 1 pairs of neighbours stay, so only
+stretches of a document with that many pairs of the benchmark are walked at all, and only candidates with that
+many pairs of their item are verified.  Items too short for an edit must be equal word by word and are looked up whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 from . import common
 from .textkit import JOIN, SPACE, U64, Words, cover, flat, mix, pieces, row_of, sequence_hash, window_hash
 
-SIMILARITY, WALKS, KEYS, SAMPLES, BLOCK_WORDS = 0.8, 16, 2, 3, 200_000
-STRETCH = 8  # steps of a walk from which a key samples
-SCREEN = 8  # pairs of neighbours that are counted at once
+SIMILARITY, WALKS, KEYS, BLOCK_WORDS = 0.8, 8, 2, 200_000
+#: Of items up to a size: the steps of a stretch of their walks, and how many of these a key samples.
+LADDER = ((12, 6, 3), (math.inf, 12, 4))
+RATIO = 1.12  # of the item sizes that share a screen
+PIECE = 4_000_000  # bytes of text at once
 CELLS = 1_000_000  # of the matrices of edit distances at once
 GAP = SPACE.copy()
 GAP[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
@@ -42,24 +45,24 @@ def edits(n: int, similarity: float) -> int:
 
 
 @lru_cache(maxsize=4096)
-def sampled(seed: int, m: int, keys: int, samples: int) -> tuple[np.uint64, list[tuple[int, ...]], np.ndarray]:
+def sampled(seed: int, m: int, keys: int, stretch: int, samples: int) -> tuple[np.uint64, list[tuple[int, ...]], np.ndarray]:
     """Of a walk's stretch: the random multiplier that gives the bits, the steps that each key samples, and the keys' salts."""
-    rng = np.random.default_rng([seed, m])
+    rng = np.random.default_rng([seed, m, stretch])
     odd = U64(int(rng.integers(2**62)) * 2 + 1)
-    return odd, [tuple(sorted(rng.choice(STRETCH, samples, replace=False).tolist())) for _ in range(keys)], rng.integers(0, 2**63, keys).astype(np.uint64)
+    return odd, [tuple(sorted(rng.choice(stretch, samples, replace=False).tolist())) for _ in range(keys)], rng.integers(0, 2**63, keys).astype(np.uint64)
 
 
-def walk(x: np.ndarray, start: np.ndarray, seed: int, keys: int, samples: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def walk(x: np.ndarray, start: np.ndarray, seed: int, keys: int, stretch: int, samples: int, most: float = math.inf) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(positions at the first sampled step, keys) of the walks over ``x`` from the sorted ``start``, stretch by stretch.
 
-    Words are not 0; a 0 ends a sequence and stops a walk.  Walks that have met go on as one.
+    Words are not 0; a 0 ends a sequence and stops a walk.  Walks that have met go on as one.  At most ``most`` stretches are walked.
     """
     at, m = start, 0
-    while len(at):
-        odd, steps, salt = sampled(seed, m, keys, samples)
+    while len(at) and m < most:
+        odd, steps, salt = sampled(seed, m, keys, stretch, samples)
         r = x * odd
         places, symbols = [], []
-        for t in range(STRETCH):
+        for t in range(stretch):
             s = r[at]
             places.append(at)
             symbols.append(s)
@@ -75,6 +78,19 @@ def walk(x: np.ndarray, start: np.ndarray, seed: int, keys: int, samples: int) -
         m += 1
 
 
+@dataclass
+class Table:
+    """The keys of items of like size."""
+
+    stretch: int
+    samples: int
+    most: int  # stretches of an item's walk
+    keys: np.ndarray  # sorted
+    item: np.ndarray  # of each key
+    place: np.ndarray  # of each key, in its item
+    bits: np.ndarray  # of the keys
+
+
 @dataclass
 class Index:
     ids: np.ndarray
@@ -82,17 +98,42 @@ class Index:
     offsets: np.ndarray
     edits: np.ndarray  # that each item allows
     exact: dict  # size -> (sorted hashes, item) of the items that allow none
-    keys: np.ndarray  # sorted
-    item: np.ndarray  # of each key
-    place: np.ndarray  # of each key, in its item
-    bits: np.ndarray  # of the keys
+    tables: list[Table]
     pairs: np.ndarray  # of neighbouring words
-    need: int  # pairs of SCREEN that some item leaves at least
-    reach: int  # words that an item can span at most
+    own: np.ndarray  # of neighbouring words with their item
+    screens: list[tuple[int, int, int]]  # for items of like size: pairs in a row, how many of these must be the benchmark's, words beside
+
+
+def spare(n, e):
+    """Pairs of neighbours that stay at least when ``e`` of ``n`` words are edited."""
+    return n - 2 * e - 1
+
+
+def screens_of(sizes: np.ndarray, similarity: float) -> list[tuple[int, int, int]]:
+    """Screens of the item sizes: some run of ``width`` pairs has ``need`` of the benchmark's if an item is there.
+
+    A stretch of n + e words has so many pairs; they are cut into runs of ``width`` and a rest.
+    """
+    out, todo = [], sorted({int(n) for n in sizes})
+    while todo:
+        part = [n for n in todo if n <= RATIO * todo[0]]
+        todo = todo[len(part) :]
+        width = part[0] + edits(part[0], similarity) - 1
+        need = []
+        for n in part:
+            e = edits(n, similarity)
+            k, rest = divmod(n + e - 1, width)
+            need.append(max(-(-(spare(n, e) - rest) // k), -(-spare(n, e) // (k + 1))) if rest else -(-spare(n, e) // k))
+        out.append((width, min(need), part[-1] + edits(part[-1], similarity) - width))
+    return out
+
+
+def salted(pair: np.ndarray, item: np.ndarray) -> np.ndarray:
+    return mix(pair ^ (item.astype(np.uint64) * JOIN))
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << max(14, min(22, (8 * len(h)).bit_length())), bool)
+    out = np.zeros(1 << max(14, min(25, (64 * len(h)).bit_length())), bool)
     out[(h >> U64(65 - len(out).bit_length())).astype(np.int64)] = True
     return out
 
@@ -101,7 +142,7 @@ def maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return bits[(h >> U64(65 - len(bits).bit_length())).astype(np.int64)]
 
 
-def build(items: list[tuple[int, str]], similarity: float, walks: int = WALKS, keys: int = KEYS, samples: int = SAMPLES) -> Index:
+def build(items: list[tuple[int, str]], similarity: float, walks: int = WALKS, keys: int = KEYS) -> Index:
     w = Words(*flat(pa.array([t for _, t in items], pa.string())), lower=True, gap=GAP)
     h, off = np.maximum(w.hashes(), U64(1)), w.rows
     size = np.diff(off)
@@ -117,14 +158,22 @@ def build(items: list[tuple[int, str]], similarity: float, walks: int = WALKS, k
     x = np.zeros(len(h) + len(size), np.uint64)
     x[np.arange(len(h)) + row_of(off)] = h
     begin = off[:-1] + np.arange(len(size))
-    found = [np.stack([k, at.astype(np.uint64)]) for seed in range(walks) for at, k in walk(x, begin[long], seed, keys, samples)]
-    key, at = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.uint64)
-    order = np.argsort(key, kind="stable")
-    key, at = key[order], at[order].astype(np.int64)
-    item = np.searchsorted(begin, at, side="right") - 1
-    pair = window_hash(h, 2)[np.concatenate([np.arange(off[i], off[i + 1] - 1) for i in long])] if len(long) else h[:0]
-    spare = [-(-int(size[i] - 2 * allowed[i] - 1) // -(-int(size[i] + allowed[i] - 1) // SCREEN)) for i in long]
-    return Index(np.array([i for i, _ in items]), h, off, allowed, exact, key, item, at - begin[item], bitmap(key), bitmap(pair), min(spare, default=0), int((size + allowed)[long].max(initial=0)))
+    tables, least = [], 0
+    for upto, stretch, samples in LADDER:
+        part = long[(size[long] > least) & (size[long] <= upto)]
+        least, found, most = upto, [], 0
+        for seed in range(walks):
+            of = [np.stack([k, at.astype(np.uint64)]) for at, k in walk(x, begin[part], seed, keys, stretch, samples)]
+            found, most = found + of, max(most, len(of) // keys)
+        if found:
+            key, at = np.concatenate(found, axis=1)
+            order = np.argsort(key, kind="stable")
+            key, at = key[order], at[order].astype(np.int64)
+            item = np.searchsorted(begin, at, side="right") - 1
+            tables.append(Table(stretch, samples, most, key, item, at - begin[item], bitmap(key)))
+    two = np.concatenate([np.arange(off[i], off[i + 1] - 1) for i in long]) if len(long) else long
+    pair = window_hash(h, 2)[two] if len(two) else h[:0]
+    return Index(np.array([i for i, _ in items]), h, off, allowed, exact, tables, bitmap(pair), bitmap(salted(pair, row_of(off)[two])), screens_of(size[long], similarity))
 
 
 def distance(item: np.ndarray, words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -151,22 +200,25 @@ def lookup(sorted_keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return of, np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(lo, each)
 
 
-def screened(index: Index, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Mask over the words: what lies in or near a stretch with as many pairs of the benchmark as some item leaves."""
-    hit = np.zeros(len(h) + SCREEN, np.int64)
-    if len(h) > 1:
-        hit[: len(h) - 1] = maybe(index.pairs, window_hash(h, 2))
-        hit[rows[1:-1][(rows[1:-1] > 0) & (rows[1:-1] < len(h))] - 1] = 0
-    total = np.append(0, np.cumsum(hit))
-    hot = np.flatnonzero(total[SCREEN : SCREEN + len(h)] - total[: len(h)] >= index.need)
-    row = row_of(rows)[hot]
-    return cover(len(h), np.maximum(hot - index.reach, rows[row]), np.minimum(hot + SCREEN + index.reach, rows[row + 1]))
+def screened(index: Index, pair: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Mask over the words: stretches with as many pairs of the benchmark as some item leaves."""
+    n = rows[-1]
+    most = max((w for w, _, _ in index.screens), default=0)
+    total = np.zeros(n + most + 1, np.int32)
+    total[1 : len(pair) + 1] = np.cumsum(maybe(index.pairs, pair))
+    total[len(pair) + 1 :] = total[len(pair)]
+    out = np.zeros(n, bool)
+    for width, need, beside in index.screens:
+        hot = np.flatnonzero(total[width : width + n] - total[:n] >= need)
+        row = np.searchsorted(rows, hot, side="right") - 1
+        out |= cover(n, np.maximum(hot - beside, rows[row]), np.minimum(hot + width + 1 + beside, rows[row + 1]))
+    return out
 
 
-def candidates(index: Index, h: np.ndarray, rows: np.ndarray, walks: int, keys: int, samples: int, screen: bool) -> np.ndarray:
+def candidates(index: Index, h: np.ndarray, rows: np.ndarray, walks: int, keys: int, screen: bool) -> np.ndarray:
     """Distinct (row, item, first word of the window) whose windows share a key with the item."""
-    word = np.flatnonzero(screened(index, h, rows)) if screen else np.arange(len(h))
-    if not len(word) or not len(index.keys):
+    word = np.flatnonzero(screened(index, window_hash(h, 2), rows)) if screen else np.arange(len(h))
+    if not len(word) or not index.tables:
         return np.zeros((0, 3), np.int64)
     row = row_of(rows)
     ends = np.ones(len(word), bool)
@@ -175,17 +227,24 @@ def candidates(index: Index, h: np.ndarray, rows: np.ndarray, walks: int, keys:
     x, origin = np.zeros(place[-1] + 2, np.uint64), np.zeros(place[-1] + 2, np.int64)
     x[place], origin[place] = h[word], word
     out = []
-    for seed in range(walks):
-        for at, key in walk(x, place, seed, keys, samples):
-            some = np.flatnonzero(maybe(index.bits, key))
-            of, hit = lookup(index.keys, key[some])
-            if len(of):
-                at0 = origin[at[some[of]]]
-                out.append(np.unique(np.stack([row[at0], index.item[hit], at0 - index.place[hit]], axis=1), axis=0))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+    for table in index.tables:
+        for seed in range(walks):
+            for at, key in walk(x, place, seed, keys, table.stretch, table.samples, table.most):
+                some = np.flatnonzero(maybe(table.bits, key))
+                of, hit = lookup(table.keys, key[some])
+                if len(of):
+                    at0 = origin[at[some[of]]]
+                    out.append((row[at0], table.item[hit], at0 - table.place[hit]))
+    if not out:
+        return np.zeros((0, 3), np.int64)
+    r, i, s = (np.concatenate(x) for x in zip(*out))
+    order = np.lexsort((s, i, r))
+    r, i, s = r[order], i[order], s[order]
+    new = np.append(True, (np.diff(r) != 0) | (np.diff(i) != 0) | (np.diff(s) != 0))
+    return np.stack([r[new], i[new], s[new]], axis=1)
 
 
-def matches(index: Index, column, walks: int = WALKS, keys: int = KEYS, samples: int = SAMPLES, screen: bool = True) -> list[tuple[int, int, int]]:
+def matches(index: Index, column, walks: int = WALKS, keys: int = KEYS, screen: bool = True) -> list[tuple[int, int, int]]:
     """(row, item, edit distance) of every item found in a row of the batch, the best stretch of each."""
     w = Words(*flat(column), lower=True, gap=GAP)
     h = np.maximum(w.hashes(), U64(1))
@@ -197,17 +256,27 @@ def matches(index: Index, column, walks: int = WALKS, keys: int = KEYS, samples:
         at = at[at + n <= w.rows[row[at] + 1]]
         of, hit = lookup(whole, g[at])
         best |= dict.fromkeys(zip(row[at[of]].tolist(), item[hit].tolist()), 0)
-    todo = candidates(index, h, w.rows, walks, keys, samples, screen)
+    todo = candidates(index, h, w.rows, walks, keys, screen)
     if len(todo):
         r, i, s = todo.T
         size = np.diff(index.offsets)
-        # windows of one item whose starts lie within its size are one stretch
-        head = np.append(True, (np.diff(r) != 0) | (np.diff(i) != 0) | (np.diff(s) > size[i[1:]]))
+        # windows of one item whose starts lie within its edits are one stretch
+        head = np.append(True, (np.diff(r) != 0) | (np.diff(i) != 0) | (np.diff(s) > index.edits[i[1:]]))
         first = np.flatnonzero(head)
         last = np.append(first[1:], len(r)) - 1
         r, i = r[first], i[first]
         begin = np.maximum(s[first] - index.edits[i], w.rows[r])
         stop = np.minimum(s[last] + size[i] + index.edits[i], w.rows[r + 1])
+        if screen:
+            enough = np.zeros(len(r), bool)
+            pair = window_hash(h, 2)
+            for a in range(0, len(r), 10_000):
+                z = slice(a, a + 10_000)
+                wide = np.maximum(stop[z] - begin[z] - 1, 1)
+                edge = np.cumsum(wide) - wide
+                at = np.minimum(np.repeat(begin[z] - edge, wide) + np.arange(int(wide.sum())), len(pair) - 1)
+                enough[z] = np.add.reduceat(maybe(index.own, salted(pair[at], np.repeat(i[z], wide))).astype(np.int64), edge) >= spare(size[i[z]], index.edits[i[z]])
+            r, i, begin, stop = r[enough], i[enough], begin[enough], stop[enough]
         for x in np.unique(i):
             part = np.flatnonzero(i == x)
             part = part[np.argsort((stop - begin)[part], kind="stable")]
@@ -253,7 +322,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         index = docs.sparkSession.sparkContext.broadcast(build(block, similarity))
 
         def run(batches, index=index):
-            for b in pieces(batches, 1):
+            for b in pieces(batches, 1, PIECE):
                 x = index.value
                 got = matches(x, b.column(1))
                 n = np.diff(x.offsets)
@@ -276,7 +345,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         index = docs.sparkSession.sparkContext.broadcast(build(block, similarity))
 
         def run(batches, index=index):
-            for b in pieces(batches, text_col):
+            for b in pieces(batches, text_col, PIECE):
                 keep = np.ones(b.num_rows, bool)
                 keep[[r for r, _, _ in matches(index.value, b.column(b.schema.names.index(text_col)).cast(pa.string()))]] = False
                 yield b.filter(pa.array(keep))

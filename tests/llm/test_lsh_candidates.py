@@ -74,5 +74,5 @@ def test_long_texts_and_items():
 
 def test_walks_that_met_stay_together():
     x = np.append(np.arange(1, 2001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
-    sizes = [len(at) for at, _ in D.walk(x, np.arange(2000), 1, 1, 1)]
+    sizes = [len(at) for at, _ in D.walk(x, np.arange(2000), 1, 1, 8, 1)]
     assert sizes[0] > 1900 and sizes[20] < 400 and sizes[60] < sizes[20]

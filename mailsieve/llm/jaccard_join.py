@@ -209,13 +209,13 @@ def in_cells(members: DataFrame, group: str, leaf_rows: int, weight: str = "0L")
     above ``leaf_rows`` rows or LEAF_SHINGLES of ``weight`` is split into leaves, with a cell for each two.
     """
     per = members.groupBy(group).agg(F.count("*").alias("rows"), F.sum(F.expr(weight)).alias("w"))
-    per = common.cut(per.select(F.col(group).alias("__g"), "rows", "w", F.greatest(F.lit(1), F.ceil(F.col("rows") / leaf_rows), F.ceil(F.col("w") / LEAF_SHINGLES)).cast("int").alias("leaves")))
+    per = common.cut(per.select(group, "rows", "w", F.greatest(F.lit(1), F.ceil(F.col("rows") / leaf_rows), F.ceil(F.col("w") / LEAF_SHINGLES)).cast("int").alias("leaves")))
     total = per.agg(F.sum("rows"), F.sum("w")).first()
     cells = max(1, math.ceil((total[0] or 0) / leaf_rows), math.ceil((total[1] or 0) / LEAF_SHINGLES))
     leaf = F.pmod(F.xxhash64("rep"), F.col("leaves")).cast("int")
-    placed = members.join(per.select("__g", "leaves"), F.col(group) == F.col("__g")).withColumn("leaf", leaf).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
+    placed = common.by_key(members, per, [group], "rows", total[0] or 0).withColumn("leaf", leaf).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
     own = F.xxhash64(group, F.least("leaf", "other"), F.greatest("leaf", "other"))
-    return placed.withColumn("cell", F.when(F.col("leaves") > 1, own).otherwise(F.pmod(F.xxhash64(group), F.lit(cells)))).drop("__g", "leaves", "leaf", "other")
+    return placed.withColumn("cell", F.when(F.col("leaves") > 1, own).otherwise(F.pmod(F.xxhash64(group), F.lit(cells)))).drop("rows", "w", "leaves", "leaf", "other")
 
 
 def edges_of(pairs) -> pa.Table:
@@ -275,11 +275,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     seen = grouped.groupBy("g").applyInArrow(anchors, "bucket int, g int, rests binary").groupBy("bucket").applyInArrow(bits_of_repeats, "g int, bucket int, bits binary")
     table = common.cut(grouped.groupBy("g").cogroup(seen.groupBy("g")).applyInArrow(nodes, "doc_id long, n long, s1 long, s2 long, keys array<long>, packed binary"), free=True)
     linkable = table.where("n > 0 and doc_id is not null")
-    classes = common.cut(linkable.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"), F.min("packed").alias("packed")), free=True)
+    classes = common.cut(linkable.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("keys").alias("keys"), F.min("packed").alias("packed")), free=True)
     several = classes.where(F.size("keys") > 0)
     by_key = several.select(F.explode("keys").alias("key"), "rep")
-    low = by_key.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("high")).where("hub < high").select(F.col("key").alias("k"), "hub")
-    member = common.cut(by_key.join(low, by_key.key == low.k).select("rep", "hub").distinct(), free=True)
+    low = by_key.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("high"), F.count("*").alias("c")).where("hub < high").select("key", "hub", "c")
+    routed = several.agg(F.sum(F.size("keys"))).first()[0] or 0
+    member = common.cut(common.by_key(by_key, low, ["key"], "c", routed).select("rep", "hub").distinct(), free=True)
 
     def pointed(batches):
         for batch in batches:
@@ -315,13 +316,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         of = table.where("n > 0").join(repeated, F.col("doc_id") == F.col("id")).select("s1", "s2", "n", "id").distinct()
         edges = edges.unionByName(of.join(classes, ["s1", "s2", "n"]).select(F.col("rep").alias("a"), F.col("id").alias("b")))
     found = components(edges)
-    named = classes.select("s1", "s2", "n", "rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n").alias("cn"), F.coalesce("component", "rep").alias("label"))
-    out = table.join(named, (table.s1 == named.c1) & (table.s2 == named.c2) & (table.n == named.cn), "left")
-    own = F.col("doc_id")
-    if twice:  # an empty text of such an id too
-        out = out.join(repeated.join(found, F.col("id") == F.col("node")).select("id", "component"), F.col("doc_id") == F.col("id"), "left")
-        own = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, own).otherwise(F.col("label")).alias("component_id"))
+    named = classes.select("s1", "s2", "n", "rep", "copies").join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", "copies", F.coalesce("component", "rep").alias("label"))
+    # rows without a set or an id link with nothing and meet no key
+    out = common.by_key(linkable.select("doc_id", "s1", "s2", "n"), named, ["s1", "s2", "n"], "copies", table.count()).select("doc_id", "n", "label")
+    rest = table.where("n = 0 or doc_id is null").select("doc_id", "n")
+    if twice:  # an empty text of an id that has others too
+        label = rest.join(repeated.join(found, F.col("id") == F.col("node")).select("id", "component"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
+    else:
+        label = rest.withColumn("label", F.col("doc_id"))
+    return out.unionByName(label).select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id"))
 
 
 ORACLE = f"""
@@ -355,17 +358,21 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id.  Word shingles of five, 80 %.
 
-    Rows that repeat an id with different texts are different documents here, so no text is lost with another's copy.
+    Rows that repeat an id with different texts are different documents here, so no text is lost with another's copy;
+    of rows equal in id and text one stays.  Rows with a null id, and all texts without words, stay.  Other columns pass
+    through whatever their names.  An empty table stays empty.
     """
-    known = docs.where("doc_id is not null").withColumn("__text", F.xxhash64("text", F.col("text").isNull()))
-    several = known.groupBy("doc_id").agg(F.min("__text").alias("low"), F.max("__text").alias("high")).where("low < high")
+    th, nr = common.fresh("text_hash", docs.columns), common.fresh("nr", docs.columns)
+    known = docs.where("doc_id is not null").withColumn(th, F.xxhash64("text", F.col("text").isNull()))
+    several = known.groupBy("doc_id").agg(F.min(th).alias("low"), F.max(th).alias("high")).where("low < high")
     if several.isEmpty():
-        known = known.withColumn("__nr", F.col("doc_id"))
+        known = known.withColumn(nr, F.col("doc_id").cast("long"))
     else:  # numbered in the order of the ids
-        pairs = common.cut(known.select("doc_id", "__text").distinct().orderBy("doc_id", "__text"))
-        numbers = pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("__d long, __t long, __nr long")
-        known = common.cut(known.join(numbers, (F.col("doc_id") == F.col("__d")) & (F.col("__text") == F.col("__t"))))
-    named = join(known.select(F.col("__nr").alias("doc_id"), "text"), shingle=5, percent=80)
-    keep = named.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    known = known.join(keep, F.col("__nr") == F.col("__id"), "left_semi").dropDuplicates(["__nr"])
+        pairs = common.cut(known.select("doc_id", F.col(th).alias("t")).distinct().orderBy("doc_id", "t"))
+        numbers = pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF(f"{nr}_d long, {nr}_t long, {nr} long")
+        known = common.cut(known.join(numbers, (F.col("doc_id") == F.col(f"{nr}_d")) & (F.col(th) == F.col(f"{nr}_t"))))
+    named = join(known.select(F.col(nr).alias("doc_id"), "text"), shingle=5, percent=80)
+    kept = common.fresh("kept", known.columns)
+    keep = named.where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    known = known.join(keep, F.col(nr) == F.col(kept), "left_semi").dropDuplicates([nr])
     return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .textkit import pieces
 
-SLOTS, ORDERS, PER_LANG, MAX_LANGS, EPOCHS, SCALE = 1 << 15, (1, 2, 3), 600, 128, 4, 20.0
+SLOTS, ORDERS, PER_LANG, FIT_DOCS, LEAST, EPOCHS, SCALE = 1 << 15, (1, 2, 3), 600, 12_000, 20, 4, 20.0
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-5
 U = "und"
 
@@ -88,13 +88,14 @@ class Model:
         return [self.langs[b] if ok else U for b, ok in zip(best, letters)], [float(z[i, b]) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, letters))]
 
 
-def vectors(column, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    slots, offsets, letters = grams(column)
-    out = []
-    for r in range(len(letters)):
-        s, n = np.unique(np.concatenate([x[o[r] : o[r + 1]] for x, o in zip(slots, offsets)]), return_counts=True)
-        out.append((s, n * (SCALE / max(1, n.sum())) * idf[s]))
-    return out
+def counted(batches):
+    """(id, lang, slots, counts): the n-grams of every row, so that no text leaves its executor."""
+    for b in pieces(batches, 1):
+        slots, offsets, letters = grams(b.column(1))
+        each = [np.unique(np.concatenate([x[o[r] : o[r + 1]] for x, o in zip(slots, offsets)]), return_counts=True) for r in range(len(letters))]
+        edge = pa.array(np.cumsum([0, *(len(s) for s, _ in each)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(edge, pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int32())) for x in ([s for s, _ in each], [n for _, n in each])]
+        yield pa.RecordBatch.from_pydict({"id": b.column(0), "lang": b.column(2), "slots": lists[0], "counts": lists[1]})
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -138,11 +139,13 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return math.exp((a + b) / 2)
 
 
-def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = PER_LANG) -> Model | None:
+def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = PER_LANG, fit_docs: int = FIT_DOCS) -> Model | None:
     """Fit on the rows of ``train``.
 
-    Document frequencies are counted over all of them; the weights on about ``per_lang`` documents of
-    each language, those whose hashed id is lowest, a fifth of them kept aside for the temperature.
+    Document frequencies are counted over all of them; the weights are fitted on about ``per_lang`` documents of
+    each language, or fit_docs / languages if that is less, but LEAST at least: those whose hashed id is lowest, a
+    fifth of them kept aside for the temperature.  The driver holds these documents' n-gram counts and two weights
+    a slot and language; there is no cap on languages.
     """
     rows = train.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
@@ -165,26 +168,29 @@ def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: i
     df = np.zeros(SLOTS)
     df[list(counts)] = list(counts.values())
     idf = np.log((1 + docs) / (1 + df)) + 1
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGS + 1).collect()}
-    if not sizes or not docs:
+    sizes = rows.groupBy("lang").count().toArrow()
+    if not len(sizes) or not docs:
         return None
-    if len(sizes) > MAX_LANGS:
-        raise ValueError("more languages than MAX_LANGS")
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])
+    per = min(per_lang, max(LEAST, fit_docs // len(sizes)))
+    share = F.broadcast(train.sparkSession.createDataFrame(sizes).select(F.col("lang").alias("of"), (F.lit(float(per)) / F.col("count")).alias("share")))
     unit = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(2**53))
-    sample = rows.where(unit < F.element_at(share, F.col("lang"))).orderBy("id", "text").limit(4 * per_lang * len(sizes)).toArrow()
+    picked = rows.join(share, F.col("lang") == F.col("of")).where(unit < F.col("share")).select("id", "text", "lang")
+    sample = picked.mapInArrow(counted, f"id {dict(rows.dtypes)['id']}, lang string, slots array<int>, counts array<int>").orderBy("id", "lang", "slots").limit(4 * per * len(sizes)).toArrow()
     langs = sorted(set(sample["lang"].to_pylist()))
     if not langs:
         return None
-    x = vectors(sample["text"], idf)
-    y = np.array([langs.index(k) for k in sample["lang"].to_pylist()])
+    y = np.searchsorted(langs, sample["lang"].to_pylist())
+    slots, n = (sample[c].combine_chunks() for c in ("slots", "counts"))
+    x = []
+    for r in range(len(sample)):
+        s, c = slots[r].values.to_numpy(), n[r].values.to_numpy()
+        x.append((s, c * (SCALE / max(1, c.sum())) * idf[s]))
     aside = np.arange(len(y)) % 5 == 4
     w, b = ftrl([v for v, a in zip(x, aside) if not a], y[~aside], len(langs))
     model = Model(langs, (w * idf * SCALE).astype(np.float64), b, 1.0)
-    if aside.any():
-        z, letters = model.logits(sample["text"].filter(pa.array(aside)))
-        if letters.any():
-            model.temperature = temperature(z[letters], y[aside][letters])
+    kept = [(v, k) for v, k, a in zip(x, y, aside) if a and len(v[0])]
+    if kept:
+        model.temperature = temperature(np.array([w[:, s] @ v + b for (s, v), _ in kept]), np.array([k for _, k in kept]))
     return model
 
 
@@ -193,8 +199,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Rows whose crc32 of the id as text is 2 modulo 4 are held out; the others with a language are
     learned from.  Language and id are no inputs of a prediction.  Texts that are null or have no
-    letters are 'und' with score 0, and so is all if there is nothing to learn from.  A null id is
-    not held out and not learned from.  Repeated rows count each; other columns are not looked at.
+    letters are 'und' with score 0, and so is all if there is nothing to learn from; texts of any length are
+    taken whole.  A null id is not held out and not learned from.  Repeated rows count each; other columns are
+    not looked at, whatever their names.
     """
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = fit(docs.where(~held & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()), id_col, text_col, lang_col, per_lang)

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from .common import read
 
-BLOCK, ALPHA, BUCKET_ROWS, CHUNK, SMALL_BLOCKS = 8, 0.5, 4096, 256, 4_000_000
+BLOCK, ALPHA, BUCKET_ROWS, CHUNK, SMALL_BLOCKS = 8, 0.5, 256, 256, 4_000_000
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -99,12 +99,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: st
     mix_on_target is true up to the first slot at which some source had no full block left.  Rows of a source without
     a weight (or with one of 0) come after all others, in its own order, with a null slot.  Inside
     a source the order is by a hash of the id, then the id, then a hash of the row's text columns, so
-    repeated rows tie and may swap.  A null source is a source named ''.  Existing columns
-    named mix_* are replaced.  An empty table stays empty.
+    repeated rows tie and may swap.  A null source is a source named ''.  Columns named mix_slot,
+    mix_position and mix_on_target are replaced; all others pass through whatever their names.  Texts of any
+    length are taken whole.  An empty table stays empty.  A task gathers about the root of the number of rows.
     """
     docs = docs.drop("mix_slot", "mix_position", "mix_on_target")
-    base = docs.withColumn("mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).withColumn("mix_key", F.xxhash64(F.col(id_col), F.lit(7)))
-    per = {r[0]: r[1] for r in base.groupBy("mix_source").count().collect()}
+    tie = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c, kind in docs.dtypes if kind in ("string", "bigint", "int")] or [F.lit(0)])
+    # the row travels as one value, so its columns' names clash with none below
+    base = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.xxhash64(F.col(id_col), F.lit(7)).alias("key"), F.col(id_col).alias("id"), tie.alias("tie"))
+    per = {r[0]: r[1] for r in base.groupBy("source").count().collect()}
     if weights is None:
         weights = {k: n**alpha for k, n in per.items()}
     weights = {k: w for k, w in weights.items() if w > 0 and per.get(k)}
@@ -112,34 +115,36 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: st
     counts = [per[k] for k in names]
     parts = shares(weights, period) if period and names else whole(weights)
     spark = docs.sparkSession
-    bits = max(0, math.ceil(math.log2(max(1, sum(counts) / BUCKET_ROWS))))
-    width = min(bits, 40)
-    keyed = base.withColumn("mix_bucket", F.shiftrightunsigned("mix_key", 64 - width) if width else F.lit(0).cast("long"))
-    sizes = keyed.groupBy("mix_source", "mix_bucket").count()
-    before = sizes.select(F.col("mix_source").alias("s0"), F.col("mix_bucket").alias("b0"), (F.sum("count").over(Window.partitionBy("mix_source").orderBy("mix_bucket")) - F.col("count")).alias("mix_before"))
-    tie = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c, kind in docs.dtypes if kind in ("string", "bigint", "int")] or [F.lit(0)])
-    local = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_key", F.col(id_col), tie)
-    ranked = keyed.withColumn("mix_row", F.row_number().over(local))
-    ranked = ranked.join(before, (F.col("mix_source") == F.col("s0")) & (F.col("mix_bucket") == F.col("b0"))).withColumn("mix_index", F.col("mix_before") + F.col("mix_row") - 1)
+    rows = sum(per.values())
+    width = min(40, max(0, math.ceil(math.log2(max(1, rows / max(BUCKET_ROWS, math.isqrt(rows)))))))
+    keyed = base.withColumn("bucket", F.shiftrightunsigned("key", 64 - width) if width else F.lit(0).cast("long"))
+    sizes = keyed.groupBy("source", "bucket").count()
+    before = sizes.select(F.col("source").alias("s0"), F.col("bucket").alias("b0"), (F.sum("count").over(Window.partitionBy("source").orderBy("bucket")) - F.col("count")).alias("before"))
+    ranked = keyed.withColumn("nr", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("key", "id", "tie")))
+    ranked = ranked.join(before, (F.col("source") == F.col("s0")) & (F.col("bucket") == F.col("b0"))).select("row", "source", (F.col("before") + F.col("nr") - 1).alias("index"))
     if not names:
-        return ranked.select(*docs.columns, F.lit(None).cast("long").alias("mix_slot"), F.lit(None).cast("long").alias("mix_position"), F.lit(False).alias("mix_on_target"))
+        return ranked.select("row.*", F.lit(None).cast("long").alias("mix_slot"), F.lit(None).cast("long").alias("mix_position"), F.lit(False).alias("mix_on_target"))
     source, number, slots, short = deal([parts[k] for k in names], counts, block)
-    rows = np.minimum(block, np.array(counts)[source] - number * block)
+    held = np.minimum(block, np.array(counts)[source] - number * block)
     # rows of CHUNK blocks of a source, packed
     order = np.lexsort((number, source))
     at = np.flatnonzero(number[order] % CHUNK == 0)
     edge = pa.array(np.append(at, len(order)), pa.int32())
-    packed = {c: pa.ListArray.from_arrays(edge, pa.array(x[order])) for c, x in (("slots", slots), ("starts", np.cumsum(rows) - rows))}
+    packed = {c: pa.ListArray.from_arrays(edge, pa.array(x[order])) for c, x in (("slots", slots), ("starts", np.cumsum(held) - held))}
     small = spark.createDataFrame(pa.table({"s1": pa.array([names[i] for i in source[order][at]], pa.string()), "k1": number[order][at] // CHUNK} | packed))
     if len(source) <= SMALL_BLOCKS:
         small = F.broadcast(small)
-    nth = F.floor(F.col("mix_index") / F.lit(block)).cast("long")
-    out = ranked.join(small, (F.col("mix_source") == F.col("s1")) & (F.floor(nth / F.lit(CHUNK)).cast("long") == F.col("k1")), "left")
+    nth = F.floor(F.col("index") / F.lit(block)).cast("long")
+    out = ranked.join(small, (F.col("source") == F.col("s1")) & (F.floor(nth / F.lit(CHUNK)).cast("long") == F.col("k1")), "left")
     place = (nth % CHUNK + 1).cast("int")
-    out = out.withColumn("mix_slot", F.element_at("slots", place)).withColumn("mix_start", F.element_at("starts", place))
-    position = F.col("mix_start") + F.col("mix_index") % block
-    return out.withColumn("mix_position", position).withColumn("mix_on_target", F.coalesce(F.col("mix_slot") < short, F.lit(False))).select(*docs.columns, "mix_slot", "mix_position", "mix_on_target")
+    slot, position = F.element_at("slots", place), F.element_at("starts", place) + F.col("index") % block
+    return out.select("row.*", slot.alias("mix_slot"), position.alias("mix_position"), F.coalesce(slot < short, F.lit(False)).alias("mix_on_target"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "mix_slot", "mix_position", "mix_on_target")
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its slot and position."""
+    return mix(docs)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import decontaminate, html_text, jaccard_join, language, line_dedup, mixing, substring_dedup, suffix_dedup, topk, toxicity
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_toxicity": toxicity.query,
     "op10_html_text": html_text.query,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.ORACLE,
@@ -26,5 +23,3 @@ ORACLE = {
     "op7_jaccard_join": jaccard_join.ORACLE,
     "op8_suffix_dedup": suffix_dedup.ORACLE,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

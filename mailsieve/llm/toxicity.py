@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import fresh, read
 from .decontaminate import GAP
 from .textkit import U64, Words, flat, mix, pieces, row_of
 
@@ -129,16 +129,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _score(docs: DataFrame, model: Model | None, text_col: str, keep: list[str]) -> DataFrame:
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias("severity"), F.lit(0).alias("grade"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, text = docs.sparkSession.sparkContext.broadcast(model), fresh("words_of", docs.columns)
 
     def run(batches):
-        for b in pieces(batches, "__text"):
-            s, g = shared.value.severity(b.column(b.schema.names.index("__text")))
+        for b in pieces(batches, text):
+            s, g = shared.value.severity(b.column(b.schema.names.index(text)))
             cols = {c: b.column(i) for i, c in enumerate(b.schema.names) if c in keep}
             yield pa.RecordBatch.from_pydict(cols | {"severity": pa.array(s, pa.float64()), "grade": pa.array(g.astype(np.int32))})
 
     schema = docs.select(*keep).schema.add("severity", "double").add("grade", "integer")
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias(text)).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT) -> DataFrame:
@@ -146,7 +146,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Null and empty texts have no words and get the severity of the thresholds alone.  Without any
     label that meets a document all severities are 0.  Rows are scored on their own, so ties and
-    repeated rows score equally; columns named severity, grade and toxic are replaced.
+    repeated rows score equally; texts of any length are taken whole; columns named severity, grade and
+    toxic are replaced, all others pass through whatever their names.
     """
     keep = [c for c in docs.columns if c not in ("severity", "grade", "toxic")]
     return _score(docs, fit(docs, labels, id_col, text_col, max_fit), text_col, keep).withColumn("toxic", F.col("severity") >= REJECT)

@@ -22,7 +22,7 @@ from .textkit import pieces
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes plaintext".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption option br".split())
-DROP = frozenset("script style noscript template iframe nav footer aside form menu dialog button select textarea input svg canvas object embed audio video head title noembed noframes math datalist xmp".split())
+DROP = frozenset("script style noscript template iframe nav footer aside menu dialog button select textarea input svg canvas object embed audio video head title noembed noframes math datalist xmp".split())
 CLOSES_P = BLOCK - {"br", "body", "html"}
 LEAF_LIKE = frozenset("p pre td blockquote h1 h2 h3 h4 h5 h6 li dd dt figcaption".split())
 CONTAINER = frozenset("html body article section main div td blockquote center form fieldset ul ol dl table tbody tr figure details".split())
@@ -34,10 +34,12 @@ BAD_WORD = (
 BAD_START, BAD_PART = re.compile(BAD_WORD, re.I), re.compile(r"[_-]" + BAD_WORD, re.I)
 # says of an element what is beside or below it
 MODIFIER = re.compile(r"(?:^|.*[_-])(?:has|no|not|with|without|is|in|hide|show)[_-]", re.I)
-DISCOUNT = 0.25
+DISCOUNT, LONG = 0.25, 80
 GOOD_NAME = re.compile(r"article|body|content|entry|main|page|post|story|text|blog", re.I)
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search menu menubar alert alertdialog dialog form toolbar".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+# a quote opens a value only after the equals sign; elsewhere it is a character of a name or of a bare value
+ATTRS = r"""((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)?+|=)*+)"""
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)" + ATTRS + r"(?:>|\Z)", re.S)
 ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?", re.S)
 BLANK = re.compile(r"[ \t\n\r\f\v   -     　\x85]+")
 COMMA = re.compile(r"[,،、，]")
@@ -197,11 +199,16 @@ def inside(x: Node | None, outer: Node) -> bool:
     return x is outer
 
 
+def wraps(form: Node, found: list[tuple[Node, Node | None, float]], root: Node) -> bool:
+    """A form around the article, as some frameworks make it: most points, in long paragraphs."""
+    return 2 * form.raw > root.raw and sum(x.chars for x, _, _ in found if x.chars >= LONG and density(x) < 0.25 and inside(x, form)) >= 3 * LONG
+
+
 def best(root: Node) -> list[Node]:
     """The container with most points and the siblings that belong to it."""
     nodes = measure(root)
     found = paragraphs(nodes)
-    drop = [x for x in nodes if x.named == 2 and 2 * x.raw <= root.raw]
+    drop = [x for x in nodes if (x.named == 2 and 2 * x.raw <= root.raw) or (x.tag == "form" and not wraps(x, found, root))]
     for x in drop:
         x.dropped = True
     if drop:

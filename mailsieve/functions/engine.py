@@ -11,6 +11,9 @@ from ..rules.packs import Param, Provider, Redirect, Ruleset, Scope
 from .url import Url, canonical_link, decode_target, form_decode, from_base64, host_in, parse, percent_decode, registrable, reject_reason
 
 
+INNER, AMPERSAND = re.compile("https?://"), re.compile("&(?:amp|AMP|#38|#[xX]26);")
+
+
 @lru_cache(maxsize=100_000)
 def compiled(pattern: str) -> re.Pattern:
     return re.compile(pattern)
@@ -34,6 +37,58 @@ def target_regex(target: str, match_case: bool = False) -> str:
     return ("(?s)" if match_case else "(?is)") + head + body + tail
 
 
+def _literals(parsed) -> set[str] | None:
+    """Of a parsed pattern, lower-case strings one of which is in every match; None if there are none of use."""
+    best: set[str] | None = None
+    run = ""
+    for op, arg in [*parsed, (None, None)]:
+        name = str(op)
+        if name == "LITERAL":
+            run += chr(arg).lower()
+            continue
+        found: set[str] | None = {run} if run else None
+        run = ""
+        if name == "SUBPATTERN":
+            inner = _literals(arg[-1])
+        elif name == "BRANCH":
+            each = [_literals(x) for x in arg[1]]
+            inner = set().union(*each) if all(each) else None
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+            inner = _literals(arg[2])
+        else:
+            inner = None
+        for x in (found, inner):
+            if x and (best is None or min(map(len, x)) > min(map(len, best))):
+                best = x
+    return best
+
+
+@lru_cache(maxsize=100_000)
+def needed(pattern: str) -> tuple[str, ...]:
+    """Strings one of which a text must hold, in lower case, for the pattern to match; '' if nothing is known."""
+    return tuple(sorted(_literals(re._parser.parse(pattern)) or {""}))
+
+
+class Finder:
+    """Which of many patterns match a text, in their order: a pattern is tried only if one of its strings is in the text."""
+
+    def __init__(self, patterns):
+        patterns = list(patterns)
+        self.patterns = [compiled("(?i)" + p) for p in patterns]
+        self.strings = [(x, i) for i, p in enumerate(patterns) for x in needed(p)]
+
+    def every(self, text: str):
+        low = text.lower()
+        tried = range(len(self.patterns)) if not low.isascii() else sorted({i for x, i in self.strings if x in low})
+        for i in tried:
+            m = self.patterns[i].search(text)
+            if m:
+                yield i, m
+
+    def first(self, text: str):
+        return next(self.every(text), (None, None))
+
+
 @dataclass
 class Cleaned:
     url: str
@@ -58,7 +113,7 @@ class Engine:
 
     def with_config(self, config: Config) -> Engine:
         out = Engine(self.rules, config)
-        out.by_name, out.by_param = self.by_name, self.by_param  # they don't depend on the configuration
+        out.by_name, out.by_param, out.finders = self.by_name, self.by_param, self.finders  # they don't depend on the configuration
         return out
 
     @cached_property
@@ -77,30 +132,46 @@ class Engine:
     def scoped(self, include, exclude, text: str, host: str) -> bool:
         return (not include or any(self.in_scope(s, text, host) for s in include)) and not any(self.in_scope(s, text, host) for s in exclude)
 
+    @cached_property
+    def finders(self) -> dict[str, tuple[list, Finder]]:
+        """Providers but the global one, those with exceptions, beacons, and pattern redirects, each with their patterns."""
+        every = self.rules.providers
+        groups = {"provider": [p for p in every if not p.is_global], "excepting": [p for p in every if p.exceptions], "beacon": [p for p in every if p.complete], "redirect": [r for r in self.rules.redirects if r.kind == "pattern"]}
+        return {k: (v, Finder(x.pattern for x in v)) for k, v in groups.items()}
+
+    def __getstate__(self) -> dict:
+        return {"rules": self.rules, "config": self.config}
+
     def provider(self, text: str) -> str | None:
         """The first provider other than the global one whose pattern matches."""
-        return next((p.name for p in self.rules.providers if not p.is_global and compiled("(?i)" + p.pattern).search(text)), None)
+        those, finder = self.finders["provider"]
+        i, _ = finder.first(text)
+        return None if i is None else those[i].name
 
     def excepted(self, name: str, text: str) -> bool:
         p = self.by_name.get(name)
         return bool(p) and any(compiled("(?i)" + e).search(text) for e in p.exceptions)
 
     @cached_property
-    def by_param(self) -> tuple[dict[str, list[int]], list[int]]:
-        """Rules by their plain name, and those that need a test of their own."""
+    def by_param(self) -> tuple[dict[str, list[int]], list[tuple[str, int]], list[int]]:
+        """Rules by their plain name, by a prefix of it, and those that need a test of their own."""
         exact: dict[str, list[int]] = {}
-        rest = []
+        starts, rest = [], []
         for i, (p, _) in enumerate(self.rules.params):
-            if p.matcher.kind == "exact" and p.matcher.subject == "decoded-name" and not p.exception_all:
+            plain = p.matcher.subject == "decoded-name" and not p.exception_all and not p.matcher.needs_equals and not p.matcher.case
+            if plain and p.matcher.kind == "exact":
                 exact.setdefault(p.matcher.value.lower(), []).append(i)
+            elif plain and p.matcher.kind == "prefix":
+                starts.append((p.matcher.value.lower(), i))
             else:
                 rest.append(i)
-        return exact, rest
+        return exact, starts, rest
 
     def context(self, url: Url):
         """A test of whether a rule is in force for a URL; scopes are tested once and when needed."""
         text, host = str(url), (url.host or "").lower()
-        hit = {p.name for p in self.rules.providers if p.exceptions and compiled("(?i)" + p.pattern).search(text) and self.excepted(p.name, text)}
+        those, finder = self.finders["excepting"]
+        hit = {those[k].name for k, _ in finder.every(text) if self.excepted(those[k].name, text)} if those else set()
         seen: dict[tuple, bool] = {}
 
         def active(i: int) -> bool:
@@ -130,8 +201,15 @@ class Engine:
             subject, value = subject.lower(), value.lower()
         return subject == value if m.kind == "exact" else subject.startswith(value)
 
+    def param_is_tracking(self, url: Url, name: str) -> bool:
+        """Whether a parameter of this name goes from the URL, as it is or with an equals sign."""
+        active = self.context(url)
+        return any(self.removes(active, s) is not None for s in (name, name + "="))
+
     @staticmethod
     def listed(name: str, patterns) -> bool:
+        if not patterns:
+            return False
         name = name.lower()
         return any(name.startswith(p[:-1].lower()) if p.endswith("*") and len(p) > 1 else name == p.lower() for p in patterns)
 
@@ -143,9 +221,15 @@ class Engine:
             return None
         if self.listed(name, self.config.extra_tracking_params):
             return name
-        pair = f"{name}={form_decode(value)}"
-        exact, rest = self.by_param
-        hits = [p for i in (*exact.get(name.lower(), ()), *rest) if ((p := self.rules.params[i][0]).exception_all or self.matches(p, raw, bool(equals), name, pair)) and active(i)]
+        exact, starts, rest = self.by_param
+        low, rules = name.lower(), self.rules.params
+        found = [*exact.get(low, ()), *(i for x, i in starts if low.startswith(x))]
+        if rest:
+            pair = f"{name}={form_decode(value)}"
+            found += [i for i in rest if (p := rules[i][0]).exception_all or self.matches(p, raw, bool(equals), name, pair)]
+        hits = [rules[i][0] for i in found if active(i)]
+        if not hits:
+            return None
         spared = {p.matcher for p in hits if p.exception}
         every = any(p.exception_all for p in hits)
         return name if any(not p.exception and not p.exception_all and not (p.source == "ad-guard" and (every or p.matcher in spared)) for p in hits) else None
@@ -165,9 +249,6 @@ class Engine:
         return Cleaned(str(url.with_query("&".join(s for s in kept if s) or None)), True, removed)
 
     def extract(self, r: Redirect, url: Url, text: str) -> str | None:
-        if r.kind == "pattern":
-            m = compiled("(?i)" + r.pattern).search(text)
-            return m[1] if m else None
         if r.kind == "query":
             values = {v for k, eq, v in (s.partition("=") for s in (url.query or "").split("&")) if eq and k in r.names}
             value = values.pop() if len(values) == 1 else None
@@ -188,10 +269,17 @@ class Engine:
 
     def target(self, url: Url) -> tuple[Redirect, str] | None:
         text, host = str(url), (url.host or "").rstrip(".").lower()
+        those, finder = self.finders["redirect"]
+        hits = ((those[i], m[1]) for i, m in finder.every(text))
+        if len(those) == len(self.rules.redirects):
+            return next((x for x in hits if x[1]), None)
+        matched = {id(r): found for r, found in hits}
         for r in self.rules.redirects:
-            if r.kind != "pattern" and not self.scoped(r.include, r.exclude, text, host):
-                continue
-            if found := self.extract(r, url, text):
+            if r.kind == "pattern":
+                found = matched.get(id(r))
+            else:
+                found = self.extract(r, url, text) if self.scoped(r.include, r.exclude, text, host) else None
+            if found:
                 return r, found
         return None
 
@@ -230,19 +318,19 @@ class Engine:
             return True
 
         def known(t: str, host: str) -> bool:
-            return any(p.complete and compiled("(?i)" + p.pattern).search(t) for p in self.rules.providers) or any(self.scoped(a, b, t, host) for a, b in self.rules.beacons)
+            return self.finders["beacon"][1].first(t)[0] is not None or any(self.scoped(a, b, t, host) for a, b in self.rules.beacons)
 
         if url and known(str(url), url.host or ""):
             return True
         decoded = percent_decode(text)
-        inner = [m.start() for m in re.finditer(r"https?://", decoded) if m.start()]
+        inner = [m.start() for m in INNER.finditer(decoded) if m.start()]
         if not inner:
             return False if url else bool(re.match(r"[\w.-]+$", text)) and known(f"https://{text}/", text)
         return any(known(decoded[i:], (parse(decoded[i:]) or Url("")).host or "") for i in inner)
 
     def link(self, href: str, sensitive: set[str] = frozenset(), base: Url | None = None) -> tuple[str | None, str]:
         """(new href or None, verdict: skip, sensitive, blocked, unwrap, rejected, clean or unchanged)."""
-        text = re.sub(r"&(?:amp|AMP|#38|#[xX]26);", "&", href.strip())
+        text = AMPERSAND.sub("&", href.strip())
         if not text or text.startswith("#"):
             return None, "skip"
         url = parse(text, base)

@@ -8,9 +8,12 @@ from dataclasses import dataclass, field
 from .engine import Engine
 from .url import parse
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+# an element whose content is text is one token: tags inside are none
+ATTRS = r"""((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+|=)*+)"""
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|xmp|iframe|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)" + ATTRS + ">", re.S | re.I)
 ATTR = re.compile(r"""([^\s"'<>/=]+)(\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.S)
 CSS_URL = re.compile(r"""url\(\s*(?:"([^"]*)"|'([^']*)'|([^)"']*))\s*\)""", re.I)
+MARKED = re.compile("style|background", re.I)
 EXTENSIONS = "gif|png|jpg|jpeg|webp|bmp"
 # Path parts of open trackers, and names of layout images.
 NEEDLES = "/open /pixel /track /beacon /spy /o.gif /open.gif /wf/open /wf/o /email-open /openrate".split()
@@ -83,13 +86,13 @@ def attributes(text: str) -> dict[str, str]:
 
 def links(html: str) -> list[str]:
     """The href of every a and area, in page order."""
-    return [a["href"] for m in TAG.finditer(html) if m[2] and not m[1] and m[2].lower() in ("a", "area") and "href" in (a := attributes(m[3]))]
+    return [a["href"] for m in TAG.finditer(html) if m[3] and not m[2] and m[3].lower() in ("a", "area") and "href" in (a := attributes(m[4]))]
 
 
 def clean_html(html: str, engine: Engine, sensitive: set[str] = frozenset(), base_url: str | None = None) -> Result:
     c = engine.config
     out = Result(html)
-    if len(html.encode("utf-8", "replace")) > c.max_html_part_size:
+    if 4 * len(html) > c.max_html_part_size and len(html.encode("utf-8", "replace")) > c.max_html_part_size:
         return out
     base = parse(base_url) if base_url else None
     rewrites_links = c.clean_query_params or c.unwrap_known_redirects or bool(c.blocked_domains)
@@ -111,9 +114,12 @@ def clean_html(html: str, engine: Engine, sensitive: set[str] = frozenset(), bas
         return swap
 
     def element(m: re.Match) -> str:
-        if m[2] is None or m[1]:
+        if m[3] is None or m[2]:
             return m[0]
-        tag, attrs = m[2].lower(), attributes(m[3])
+        tag = m[3].lower()
+        if tag not in ("img", "a", "area") and not (css and MARKED.search(m[4])):
+            return m[0]
+        attrs = attributes(m[4])
         if tag == "img" and c.remove_pixels and is_pixel(attrs, engine):
             out.pixels_removed += 1
             out.removed.append(attrs.get("src", ""))
@@ -154,7 +160,7 @@ def clean_html(html: str, engine: Engine, sensitive: set[str] = frozenset(), bas
             value = edits[key]
             return "" if value is None else f'{a[1]}="{value.replace(chr(34), "&quot;")}"'
 
-        return f"<{m[2]}{ATTR.sub(attribute, m[3])}{extra}>"
+        return f"<{m[3]}{ATTR.sub(attribute, m[4])}{extra}>"
 
     out.html = TAG.sub(element, html)
     out.changed = bool(out.urls_cleaned + out.redirects_unwrapped + out.pixels_removed + out.pings_stripped)

@@ -6,6 +6,7 @@ import base64
 import quopri
 import re
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from ..config import Config
 from .engine import Engine
@@ -55,28 +56,45 @@ def header(headers, name: str) -> str:
 
 
 def parameter(value: str, name: str) -> str:
+    """A parameter of a structured header, also in extended form: continued (name*0, name*1) and encoded (name*)."""
     m = re.search(rf";\s*{name}\s*=\s*(?:\"([^\"]*)\"|([^;\s]*))", value, re.I)
-    return (m[1] if m[1] is not None else m[2]) if m else ""
-
-
-def parts(raw: bytes, start: int = 0, end: int | None = None, depth: int = 0) -> list[Part]:
-    """Leaf parts with the offsets of their bodies."""
-    end = len(raw) if end is None else end
-    headers, body = header_block(raw, start, end)
-    ctype = header(headers, "content-type") or "text/plain"
-    kind = ctype.split(";")[0].strip().lower()
-    boundary = parameter(ctype, "boundary")
-    if kind.startswith("multipart/") and boundary and depth < 20:
-        marks = list(re.compile(rb"(?:^|\r?\n)--" + re.escape(boundary.encode()) + rb"(--)?[ \t]*(?=\r?\n|\Z)").finditer(raw, max(body - 1, 0), end))
-        out = []
-        for i, m in enumerate(marks):
-            if m[1]:
-                break
-            a = m.end() + (2 if raw[m.end() : m.end() + 2] == b"\r\n" else 1)
-            out += parts(raw, a, marks[i + 1].start() if i + 1 < len(marks) else end, depth + 1)
-        return out
-    disposition = header(headers, "content-disposition").split(";")[0].strip().lower()
-    return [Part(kind, parameter(ctype, "charset").lower() or "utf-8", header(headers, "content-transfer-encoding").strip().lower() or "7bit", body, end, disposition == "attachment")]
+    if m:
+        return m[1] if m[1] is not None else m[2]
+    pieces = re.findall(rf";\s*{name}(?:\*(\d+))?(\*)?\s*=\s*(?:\"([^\"]*)\"|([^;\s]*))", value, re.I)
+    pieces.sort(key=lambda x: int(x[0] or 0))
+    text = "".join(a or b for _, _, a, b in pieces)
+    if any(mark for _, mark, _, _ in pieces):
+        charset, quote, rest = text.partition("'")
+        language, quote, rest = rest.partition("'") if quote else ("", "", "")
+        text = unquote(rest if quote else text, charset or "utf-8" if quote else "utf-8", "replace")
+    return text
+
+
+def parts(raw: bytes, start: int = 0, end: int | None = None) -> list[Part]:
+    """Leaf parts with the offsets of their bodies, in order, however deep they are nested."""
+    out, todo = [], [(start, len(raw) if end is None else end)]
+    while todo:
+        start, end = todo.pop()
+        headers, body = header_block(raw, start, end)
+        ctype = header(headers, "content-type") or "text/plain"
+        kind = ctype.split(";")[0].strip().lower()
+        boundary = parameter(ctype, "boundary")
+        if kind.startswith("multipart/") and boundary:
+            marks = list(re.compile(rb"(?:^|\r?\n)--" + re.escape(boundary.encode()) + rb"(--)?[ \t]*(?=\r?\n|\Z)").finditer(raw, max(body - 1, 0), end))
+            inner = []
+            for i, m in enumerate(marks):
+                if m[1]:
+                    break
+                a = m.end() + (2 if raw[m.end() : m.end() + 2] == b"\r\n" else 1)
+                inner.append((a, marks[i + 1].start() if i + 1 < len(marks) else end))
+            todo += [x for x in reversed(inner) if x[0] > start]
+            continue
+        disposition = header(headers, "content-disposition").split(";")[0].strip().lower()
+        if kind == "message/rfc822" and disposition != "attachment" and body > start:
+            todo.append((body, end))
+            continue
+        out.append(Part(kind, parameter(ctype, "charset").lower() or "utf-8", header(headers, "content-transfer-encoding").strip().lower() or "7bit", body, end, disposition == "attachment"))
+    return out
 
 
 def decoded(raw: bytes, p: Part) -> bytes:
@@ -142,7 +160,7 @@ def replacement(raw: bytes, p: Part, text: str, encoded: bool = True) -> bytes |
         return None
     eol = line_end(raw)
     if not encoded or p.encoding not in ("base64", "quoted-printable"):
-        if any(b > 127 for b in data) and not any(b > 127 for b in old):
+        if not data.isascii() and old.isascii():
             return None
         out = data
     else:

@@ -7,10 +7,14 @@ import ipaddress
 import json
 import re
 from dataclasses import dataclass, replace
+from functools import cached_property, lru_cache
 from urllib.parse import unquote_to_bytes
 
 PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
 SCHEME = re.compile(r"([a-zA-Z][a-zA-Z0-9+.-]*):(.*)", re.S)
+BLANK = "".join(map(chr, range(33)))
+BREAKS = re.compile(r"[\t\r\n]")
+HOST_PORT = re.compile(r"(\[[^\]]*\]|[^:]*)(?::(\d*))?")
 BAD_HOST = re.compile(r"[\x00-\x20\x7f\"#%/:<>?@\[\\\]^`{|}]")
 
 
@@ -29,6 +33,10 @@ class Url:
         return self.scheme in ("http", "https")
 
     def __str__(self) -> str:
+        return self.text
+
+    @cached_property
+    def text(self) -> str:
         out = self.scheme + ":"
         if self.host is not None:
             out += "//" + (f"{self.user}@" if self.user else "") + self.host + (f":{self.port}" if self.port else "")
@@ -39,7 +47,14 @@ class Url:
         return replace(self, query=query)
 
 
+@lru_cache(maxsize=None)
+def _odd(extra: str) -> re.Pattern:
+    return re.compile(f"[^!-~]|[{re.escape(extra)}]" if extra else "[^!-~]")
+
+
 def _escape(text: str, extra: str) -> str:
+    if not _odd(extra).search(text):
+        return text
     return "".join(c if " " < c < "\x7f" and c not in extra else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in text)
 
 
@@ -60,6 +75,7 @@ def _ipv4(host: str) -> str | None | bool:
     return str(ipaddress.IPv4Address(value))
 
 
+@lru_cache(maxsize=100_000)
 def _host(raw: str) -> str | None:
     if raw.startswith("["):
         try:
@@ -78,6 +94,8 @@ def _host(raw: str) -> str | None:
 
 
 def _dots(path: str) -> str:
+    if "/." not in path and "%" not in path:
+        return path
     out: list[str] = []
     parts = path.split("/")[1:]
     for i, p in enumerate(parts):
@@ -96,7 +114,7 @@ def parse(text: str | None, base: Url | None = None) -> Url | None:
     """The URL in normal form, or None.  Relative references need ``base``."""
     if text is None:
         return None
-    text = re.sub(r"[\t\r\n]", "", text.strip("".join(map(chr, range(33)))))
+    text = BREAKS.sub("", text.strip(BLANK))
     m = SCHEME.fullmatch(text)
     if not m or (base and base.web and m[1].lower() == base.scheme and not m[2].startswith(("/", "\\"))):
         return _join(base, m[2] if m else text) if base else None
@@ -113,7 +131,7 @@ def parse(text: str | None, base: Url | None = None) -> Url | None:
     rest = rest.replace("\\", "/").lstrip("/")
     authority, slash, path = rest.partition("/")
     user, at, host = authority.rpartition("@")
-    h = re.fullmatch(r"(\[[^\]]*\]|[^:]*)(?::(\d*))?", host)
+    h = HOST_PORT.fullmatch(host)
     name = _host(h[1]) if h else None
     if name is None or (h[2] and int(h[2]) > 65535):
         return None
@@ -135,11 +153,13 @@ def _join(base: Url, ref: str) -> Url | None:
 
 
 def form_decode(text: str) -> str:
+    if "%" not in text and "+" not in text:
+        return text
     return unquote_to_bytes(text.replace("+", " ")).decode("utf-8", "replace")
 
 
 def percent_decode(text: str) -> str:
-    return unquote_to_bytes(text).decode("utf-8", "replace")
+    return text if "%" not in text else unquote_to_bytes(text).decode("utf-8", "replace")
 
 
 def host_in(host: str | None, domains) -> bool:
@@ -186,6 +206,11 @@ def decode_target(text: str) -> Url | None:
     return parse(found) if found else None
 
 
+#: Networks that are no public addresses.
+BLOCKED = [ipaddress.ip_network(n) for n in "0.0.0.0/32 127.0.0.0/8 10.0.0.0/8 172.16.0.0/12 192.168.0.0/16 169.254.0.0/16 255.255.255.255/32 192.0.2.0/24 198.51.100.0/24 203.0.113.0/24 100.64.0.0/10 198.18.0.0/15 192.0.0.0/24 224.0.0.0/4 240.0.0.0/4".split()]
+
+
+@lru_cache(maxsize=100_000)
 def blocked_ip(host: str) -> bool:
     """Addresses that aren't of the public internet."""
     try:
@@ -201,8 +226,7 @@ def blocked_ip(host: str) -> bool:
         if n >> 32 == 0:
             return blocked_ip(str(ipaddress.IPv4Address(n & 0xFFFFFFFF)))
         return n >> 121 == 0xFC >> 1 or n >> 118 == 0xFE80 >> 6
-    nets = "0.0.0.0/32 127.0.0.0/8 10.0.0.0/8 172.16.0.0/12 192.168.0.0/16 169.254.0.0/16 255.255.255.255/32 192.0.2.0/24 198.51.100.0/24 203.0.113.0/24 100.64.0.0/10 198.18.0.0/15 192.0.0.0/24 224.0.0.0/4 240.0.0.0/4"
-    return any(ip in ipaddress.ip_network(n) for n in nets.split())
+    return any(ip in net for net in BLOCKED)
 
 
 def mixed_script(host: str) -> bool:
@@ -226,23 +250,59 @@ def reject_reason(url: Url) -> str | None:
     return "private-ip" if blocked_ip(url.host) else None
 
 
-#: A small part of the public suffix list, private suffixes last.
-SUFFIXES = frozenset("com org net edu gov mil int info biz io co ai app dev nl de fr be es it eu uk us ca au jp lu me tv ly to gl co.uk org.uk ac.uk gov.uk com.au net.au org.au co.jp ne.jp or.jp com.br co.nz co.za co.in com.mx com.tr".split())
-PRIVATE_SUFFIXES = frozenset("github.io gitlab.io herokuapp.com appspot.com blogspot.com cloudfront.net netlify.app vercel.app web.app azurewebsites.net".split())
-
-
-def registrable(host: str) -> str | None:
-    """The domain below the public suffix; none for private suffixes."""
-    labels = host.lower().rstrip(".").split(".")
-    for i in range(len(labels)):
-        tail = ".".join(labels[i:])
-        if tail in PRIVATE_SUFFIXES:
-            return None
-        if tail in SUFFIXES or i == len(labels) - 1:
-            return ".".join(labels[i - 1 :]) if i else None
-    return None
+#: Second-level names under which country registries register, and suffixes of private registries.
+SECOND_LEVEL = frozenset("ac biz co com ed edu go gob gouv gov gv id info ltd me mil muni ne net nom or org plc res sch web".split())
+PRIVATE_SUFFIXES = frozenset("github.io gitlab.io herokuapp.com appspot.com blogspot.com cloudfront.net netlify.app vercel.app web.app azurewebsites.net pages.dev workers.dev firebaseapp.com s3.amazonaws.com".split())
+
+
+class Suffixes:
+    """Public suffixes: by rule, or by the rules of a list in the public format if one is given.
+
+    By rule a suffix is the last label, and with it the label before if that is a common second-level name
+    under a country's two letters, so a.co.kr and b.co.kr are two sites.  A list adds its own rules,
+    wildcards and exceptions; what follows its line '===BEGIN PRIVATE DOMAINS===' is private.
+    """
+
+    def __init__(self, text: str = ""):
+        self.public: set[str] = set()
+        self.private = set(PRIVATE_SUFFIXES)
+        into = self.public
+        for line in text.splitlines():
+            if "===BEGIN PRIVATE DOMAINS===" in line:
+                into = self.private
+            elif line.strip() and not line.startswith("//"):
+                into.add(line.split()[0].lower())
+
+    def of(self, labels: list[str]) -> tuple[int, bool]:
+        """(number of labels of the suffix, whether it is private); the longest rule counts, exceptions first."""
+        best, private = 1, False
+        if len(labels) > 1 and len(labels[-1]) == 2 and labels[-2] in SECOND_LEVEL and not self.public:
+            best = 2
+        for n in range(1, len(labels) + 1):
+            tail = ".".join(labels[-n:])
+            wild = ".".join(["*", *labels[-n:][1:]])
+            for rules in (self.public, self.private):
+                if "!" + tail in rules:
+                    return n - 1, rules is self.private
+                if tail in rules or (n > 1 and wild in rules):
+                    best, private = n, rules is self.private
+        return best, private
+
+
+RULE = Suffixes()
+
+
+def registrable(host: str, suffixes: Suffixes = RULE) -> str | None:
+    """The public suffix and one label more; none for addresses, for a suffix itself and below private suffixes."""
+    host = host.lower().rstrip(".")
+    labels = host.split(".")
+    if host.startswith("[") or labels[-1].isdigit():
+        return None
+    n, private = suffixes.of(labels)
+    return None if private or len(labels) <= n else ".".join(labels[-n - 1 :])
 
 
+@lru_cache(maxsize=100_000)
 def canonical_link(text: str) -> str:
     """Scheme, host, decoded path and sorted decoded pairs, for comparing links."""
     url = parse(text)

@@ -15,7 +15,22 @@ from ..functions.url import parse
 from ..rules.packs import Ruleset
 
 
-def by_row(df: DataFrame, inputs: list[str], fields: list[tuple[str, str]], make) -> DataFrame:
+#: Rows of a task at most, where Python works on each row for a good part of a millisecond.
+ROWS_PER_TASK = 5_000
+
+
+def spread(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``df`` in partitions of about ``rows_per_task`` rows at most, if it has too few: small rows make a file's split very many.
+
+    The count reads no column: for files it comes from their footers.  Streams are left as they are.
+    """
+    if df.isStreaming:
+        return df
+    wanted = -(-df.select().count() // rows_per_task)
+    return df.repartition(wanted) if wanted > df.rdd.getNumPartitions() else df
+
+
+def by_row(df: DataFrame, inputs: list[str], fields: list[tuple[str, str]], make, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``df`` with columns that ``make(*inputs)`` gives for each row, in Arrow batches; columns of those names go."""
     keep = [c for c in df.columns if c not in {n for n, _ in fields}]
     schema = T.StructType([*df.select(*keep).schema.fields, *T._parse_datatype_string(", ".join(f"{n} {k}" for n, k in fields)).fields])
@@ -31,7 +46,7 @@ def by_row(df: DataFrame, inputs: list[str], fields: list[tuple[str, str]], make
             cols += [pa.array([r[i] for r in rows], wanted.field(n).type) for i, (n, _) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *[n for n, _ in fields]])
 
-    return df.mapInArrow(run, schema)
+    return spread(df, rows_per_task).mapInArrow(run, schema)
 
 
 def normalise_urls(df: DataFrame, url_col: str = "url", out: str = "normal_url") -> DataFrame:
@@ -105,16 +120,27 @@ def rule_table(spark, rules: Ruleset) -> DataFrame:
     return spark.createDataFrame(rows, "name string, ord int")
 
 
-def strip_by_join(df: DataFrame, names: DataFrame, key: str, url_col: str = "url") -> DataFrame:
-    """(key, cleaned_url, n_removed): parameters joined with a table of names.
+#: Names that fit into one test of a column.
+MAX_IN_LIST = 100_000
+
+
+def strip_by_join(df: DataFrame, names: DataFrame, url_col: str = "url", max_in_list: int = MAX_IN_LIST) -> DataFrame:
+    """``df`` with cleaned_url and n_removed: parameters tested against a table of names.
 
-    The table of names is broadcast only if the planner's own size check allows; else it is a shuffle
-    join on the name.
+    Up to ``max_in_list`` names are one hashed list inside the scan, without a shuffle.  More are joined by name, with the
+    names that the URLs hold; the corpus then meets only the names that both have, as a list for each URL.
+    Rows without a query meet no key, and rows are told apart by a row id, not by their values.
     """
-    parts = df.select(key, F.col(url_col).alias("u"), F.posexplode_outer(F.split(C.query(F.col(url_col)), "&")).alias("place", "segment"))
-    parts = parts.withColumn("name", F.lower(C.form_decode(C.segment_name(F.col("segment")))))
-    hit = parts.join(names.select(F.col("name").alias("bad")).distinct(), parts.name == F.col("bad"), "left")
-    kept = F.array_sort(F.collect_list(F.when(F.col("bad").isNull() & (F.col("segment") != ""), F.struct("place", "segment"))))
-    out = hit.groupBy(key).agg(F.first("u").alias("u"), kept.alias("kept"), F.count("bad").alias("n_removed"))
-    tail = F.when(F.size("kept") > 0, F.concat(F.lit("?"), F.array_join(F.transform("kept", lambda k: k["segment"]), "&"))).otherwise("")
-    return out.select(key, F.when(F.col("n_removed") > 0, F.concat(F.regexp_extract("u", r"^([^?#]*)", 1), tail, C.fragment(F.col("u")))).otherwise(F.col("u")).alias("cleaned_url"), "n_removed")
+    lower = lambda s: F.lower(C.form_decode(C.segment_name(s)))
+    listed = names.select(F.lower("name").alias("bad_name")).distinct()
+    few = [r.bad_name for r in listed.limit(max_in_list + 1).collect()]
+    if len(few) <= max_in_list:
+        cleaned, removed = C.strip(F.col(url_col), lambda s: lower(s).isin(few))
+        return df.withColumns({"cleaned_url": cleaned, "n_removed": F.size(removed).cast("long")})
+    rid, bad = "strip_row", "strip_bad"
+    keyed = df.withColumn(rid, F.monotonically_increasing_id())
+    used = keyed.where(C.query(F.col(url_col)).isNotNull()).select(rid, F.explode(F.array_distinct(F.transform(F.split(C.query(F.col(url_col)), "&"), lower))).alias("bad_name"))
+    hits = used.join(listed, "bad_name").groupBy(rid).agg(F.collect_set("bad_name").alias(bad))
+    cleaned, removed = C.strip(F.col(url_col), lambda s: F.array_contains(F.col(bad), lower(s)))
+    out = keyed.join(hits, rid, "left")
+    return out.select(*df.columns, F.when(F.col(bad).isNull(), F.col(url_col)).otherwise(cleaned).alias("cleaned_url"), F.when(F.col(bad).isNull(), 0).otherwise(F.size(removed)).cast("long").alias("n_removed"))

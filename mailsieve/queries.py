@@ -109,7 +109,8 @@ def provider_detect(spark, d):
     return urls.groupBy(C.provider(F.col("u"), rules()).alias("provider")).agg(F.count("*").alias("n"))
 
 
-VENDOR = "(" + GONE + " OR (regexp_matches(u, '^https?://(?:[a-z0-9-]+\\.)*?(?:amazon(?:\\.[a-z]{2,}){1,}|amzn\\.to)') AND (" + NAME + " IN (" + quoted(sorted({m.value for m in C.vendor_params(PACK, "amazon") if m.kind == "exact"})) + f") OR regexp_matches({NAME}, '^(?:p[fd]_rd_[a-z]*)$') OR regexp_matches({NAME}, '^(?:srs?)$'))))"
+AMAZON = "^https?://([a-z0-9_-]+[.])*(amazon([.][a-z]{2,})+|amzn[.]to)(:|/|[?]|#|$)"
+VENDOR = "(" + GONE + f" OR (regexp_matches(u, '{AMAZON}') AND (" + NAME + " IN (" + quoted(sorted({m.value for m in C.vendor_params(PACK, "amazon") if m.kind == "exact"})) + f") OR regexp_matches({NAME}, '^(?:p[fd]_rd_[a-z]*)$') OR regexp_matches({NAME}, '^(?:srs?)$'))))"
 
 
 @query("vendor_param_strip", stripped("events", "event_id", VENDOR, EVENT_URL))
@@ -142,8 +143,8 @@ def exclude_domains(spark, d):
 
 @query("param_join", stripped("events", "event_id", f"{NAME} IN ({quoted(EXACT)})", EVENT_URL).replace("SELECT event_id, ", "SELECT event_id, cleaned_url, n_removed FROM (SELECT event_id, ", 1) + ")")
 def param_join(spark, d):
-    """Parameters found by a join with the table of names, for packs of any size."""
-    return ops.strip_by_join(table(spark, d, "events", url=EVENT_URL), ops.rule_table(spark, rules()), "event_id")
+    """Parameters tested against the table of names, for packs of any size."""
+    return ops.strip_by_join(table(spark, d, "events", url=EVENT_URL), ops.rule_table(spark, rules())).select("event_id", "cleaned_url", "n_removed")
 
 
 @query("brave_raw_key", stripped("events", "event_id", "(string_split(s, '=')[1] = 'si' AND contains(s, '=') AND regexp_matches(u, '(?is)^.*://www[.]youtube[.]com/.*$'))", EVENT_URL))

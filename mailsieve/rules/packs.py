@@ -10,7 +10,7 @@ import itertools
 import json
 import re
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from . import builtin
 
@@ -150,68 +150,58 @@ def detect(text: str) -> str | None:
 
 
 def expansions(pattern: str) -> list[str] | None:
-    """All strings of a pattern of literals, alternation, groups, classes and '?', if they are few."""
-
-    def alternatives(at: int) -> tuple[set[str] | None, int]:
-        every: set[str] = set()
-        now: set[str] = {""}
-        while at < len(pattern):
-            c = pattern[at]
-            if c == "|":
-                every |= now
-                now, at = {""}, at + 1
+    """The strings of a pattern of literals, alternation and fixed repetition (up to 8 times), if there are at most EXPAND; None for any other."""
+
+    def of(parsed) -> list[str] | None:
+        now = [""]
+        for op, arg in parsed:
+            name = str(op)
+            if name == "AT":
                 continue
-            if c == ")":
-                break
-            if c == "(":
-                at += 3 if pattern.startswith("(?:", at) else 1
-                if pattern[at : at + 1] == "?":
-                    return None, at
-                piece, at = alternatives(at)
-                if piece is None or pattern[at : at + 1] != ")":
-                    return None, at
-                at += 1
-            elif c == "[":
-                end = pattern.find("]", at + 1)
-                body = pattern[at + 1 : end]
-                if end < 0 or not body or not re.fullmatch(r"[A-Za-z0-9_]+", body):
-                    return None, at
-                piece, at = set(body), end + 1
-            elif c == "\\":
-                if at + 1 >= len(pattern) or pattern[at + 1].isalnum():
-                    return None, at
-                piece, at = {pattern[at + 1]}, at + 2
-            elif c in ".^$*+?{}]":
-                return None, at
+            if name == "LITERAL":
+                piece = [chr(arg)]
+            elif name == "IN" and len(arg) == 1 and str(arg[0][0]) == "LITERAL":
+                piece = [chr(arg[0][1])]
+            elif name == "SUBPATTERN":
+                piece = of(arg[-1])
+            elif name == "BRANCH":
+                each = [of(x) for x in arg[1]]
+                piece = None if None in each else [x for part in each for x in part]
+            elif name == "MAX_REPEAT" and arg[0] == arg[1] <= 8:
+                once = of(arg[2])
+                piece = None if once is None or len(once) ** arg[1] > EXPAND else ["".join(x) for x in itertools.product(once, repeat=arg[1])]
             else:
-                piece, at = {c}, at + 1
-            follow = pattern[at : at + 1]
-            if follow == "?":
-                piece, at = piece | {""}, at + 1
-                follow = pattern[at : at + 1]
-            if follow and follow in "*+{?":
-                return None, at
-            now = {a + b for a in now for b in piece}
+                return None
+            if piece is None:
+                return None
+            now = list(dict.fromkeys(a + b for a in now for b in piece))
             if len(now) > EXPAND:
-                return None, at
-        return every | now, at
+                return None
+        return now
+
+    found = of(re._parser.parse(pattern))
+    return None if found is None else sorted(set(found) - {""})
+
 
-    found, at = alternatives(0)
-    if found is None or at != len(pattern) or len(found) > EXPAND:
+def literal_prefix(pattern: str) -> str | None:
+    """What stands before a final '.*' if that is all literal."""
+    parsed = [x for x in re._parser.parse(pattern) if str(x[0]) != "AT"]
+    if not parsed or str(parsed[-1][0]) != "MAX_REPEAT" or any(str(op) != "LITERAL" for op, _ in parsed[:-1]):
         return None
-    return sorted(found - {""})
+    least, most, inner = parsed[-1][1]
+    any_number = least == 0 and most == re._parser.MAXREPEAT and [str(op) for op, _ in inner] == ["ANY"]
+    return "".join(chr(c) for _, c in parsed[:-1]) if any_number else None
 
 
 def normalise(pattern: str) -> list[Matcher] | None:
     """A parameter pattern as exact names, a prefix or else a regular expression over the whole name."""
     if not pattern or not compiles(pattern):
         return None
-    if re.fullmatch(r"[\w-]+\.\*", pattern):
-        return [Matcher("prefix", pattern[:-2].lower())]
-    if not re.search(r"[p\[]\[?.*[*+]", pattern) or "(" in pattern:
-        every = expansions(pattern) if re.search(r"[\\.^$|?*+()\[\]{}]", pattern) and "?" not in pattern.replace("(?:", "(") else ([pattern] if not re.search(r"[\\.^$|?*+()\[\]{}]", pattern) else None)
-        if every:
-            return [Matcher("exact", x.lower()) for x in every]
+    if prefix := literal_prefix(pattern):
+        return [Matcher("prefix", prefix.lower())]
+    every = expansions(pattern)
+    if every and all(x.isascii() for x in every):
+        return [Matcher("exact", x) for x in sorted({x.lower() for x in every})]
     return [Matcher("regex", f"(?i)^(?:{pattern})$")]
 
 
@@ -364,6 +354,40 @@ class Ruleset:
         }
 
 
+def join(one: Ruleset, two: Ruleset) -> Ruleset:
+    """Two built rulesets as one: the rules of the first come first, equal parameter rules are one rule of all their providers."""
+    out = Ruleset(list(one.providers), list(one.params), list(one.redirects), list(one.beacons), list(one.raws), [*one.reports, *two.reports])
+    at = {p_key(p): i for i, (p, _) in enumerate(out.params)}
+    for p, names in two.params:
+        if (i := at.get(p_key(p))) is None:
+            at[p_key(p)] = len(out.params)
+            out.params.append((p, names))
+        else:
+            out.params[i] = (out.params[i][0], out.params[i][1] | names)
+    known = {p.name for p in out.providers}
+    out.providers += [p for p in two.providers if p.name not in known]
+    for mine, theirs in ((out.redirects, two.redirects), (out.beacons, two.beacons), (out.raws, two.raws)):
+        mine += [x for x in theirs if x not in mine]
+    return out
+
+
+def without(rules: Ruleset, names: Iterable[str]) -> Ruleset:
+    """A built ruleset without some providers; a parameter rule goes when it has no provider left."""
+    off = {n.lower() for n in names}
+    gone = lambda name: bool(name) and name.lower() in off
+    params = []
+    for p, of in rules.params:
+        left = frozenset(n for n in of if n.lower() not in off)
+        if left or not of:
+            params.append((p if not gone(p.provider) else replace(p, provider=min(left)), left))
+    return Ruleset([p for p in rules.providers if not gone(p.name)], params, [r for r in rules.redirects if not gone(r.provider)], list(rules.beacons), [r for r in rules.raws if not gone(r.provider)], list(rules.reports))
+
+
+def p_key(p: Param, own: bool = False) -> tuple:
+    """What makes two parameter rules equal."""
+    return (p.source == "clear-urls" and p.is_global, p.referral, p.exception, p.exception_all, p.matcher, frozenset(p.include), frozenset(p.exclude), own and p.is_global)
+
+
 def load(packs: Iterable[tuple[str, str | bytes]] = (), *, formats: dict[str, str] | None = None, usage: dict[str, str] | None = None, disabled: Iterable[str] = (), limits: Limits = Limits(), with_builtin: bool = True) -> Ruleset:
     """Compile packs (name, text), the built-in one first; of packs of one name the first counts.
 
@@ -407,7 +431,7 @@ def load(packs: Iterable[tuple[str, str | bytes]] = (), *, formats: dict[str, st
         for p in ir.params:
             if p.provider and p.provider.lower() in off:
                 continue
-            key = (p.source == "clear-urls" and p.is_global, p.referral, p.exception, p.exception_all, p.matcher, frozenset(p.include), frozenset(p.exclude), own and p.is_global)
+            key = p_key(p, own)
             if key in seen:
                 at = seen[key]
                 out.params[at] = (out.params[at][0], out.params[at][1] | ({p.provider} if p.provider else set()))

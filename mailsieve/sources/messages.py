@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote, unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,13 @@ def write_messages(df: DataFrame, path: str) -> None:
 
 def read_packs(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
     """Rule packs as (name, text), in the order given, through Spark's file systems."""
-    rows = {r.path: r.value for r in spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").collect()}
-    name = lambda p: p.rsplit("/", 1)[-1]
-    return [(p, next(v for k, v in rows.items() if name(k) == name(p))) for p in paths]
+    path = lambda p: re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*(?=/)", "", p)
+    rows = {path(r.path): r.value for r in spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").collect()}
+
+    def text(p: str) -> str:
+        want = path(p)
+        exact = rows.get(want, rows.get(quote(want)))
+        # a relative path or one without its store's authority: by its end, whole names only
+        return exact if exact is not None else next(v for k, v in rows.items() if unquote(k).endswith("/" + want.lstrip("./")))
+
+    return [(p, text(p)) for p in paths]

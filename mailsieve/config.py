@@ -92,8 +92,20 @@ def parse_toml(text: str) -> Config:
     return Config(**{k: tuple(v) if isinstance(v, list) else v for k, v in raw.items()})
 
 
+#: In place of a pack without transport security, which is not read: no format, so its report has an error.
+INSECURE = b"["
+#: What rules were compiled from, and the rules; a few are kept.
+CACHE: dict[tuple, Ruleset] = {}
+CACHED = 16
+
+
 def finalize(config: Config, loader: Callable[[str], bytes] | None = None) -> Ruleset:
-    """Compile the rules that a configuration names, each source string once, first come first."""
+    """Compile the rules that a configuration names, each source string once, first come first.
+
+    Sources are read again each time; if these and all settings that rules depend on are as before, the compiled rules
+    are given again.  Resolving over the network is an operator of its own (see ``functions.network``) and needs
+    requests of the caller's.
+    """
     formats, usage, order = {}, {}, []
     every: Iterable[tuple[str, str, str]] = [*((p, "", "") for p in config.rule_packs), *((u, "clear-urls", "") for u in config.rule_pack_urls), *((s["source"], s.get("format", ""), s.get("usage", "")) for s in config.rule_pack_sources)]
     for name, fmt, use in every:
@@ -111,8 +123,16 @@ def finalize(config: Config, loader: Callable[[str], bytes] | None = None) -> Ru
 
     packs = []
     for name in order:
+        if name.startswith("http://"):
+            packs.append((name, INSECURE))
+            continue
         try:
             packs.append((name, fetch(name)))
         except OSError:
             packs.append((name, b""))
-    return load(packs, formats={k: v for k, v in formats.items() if v}, usage=usage, disabled=config.disabled_providers, limits=config.rule_limits)
+    key = (tuple(packs), tuple(formats.items()), tuple(usage.items()), config.disabled_providers, config.rule_limits)
+    if key not in CACHE:
+        while len(CACHE) >= CACHED:
+            CACHE.pop(next(iter(CACHE)))
+        CACHE[key] = load(packs, formats={k: v for k, v in formats.items() if v}, usage=usage, disabled=config.disabled_providers, limits=config.rule_limits)
+    return CACHE[key]

@@ -16,6 +16,7 @@ from .functions import columns as C
 from .functions.engine import Engine, glob_regex, target_regex
 from .operators import clean as ops
 from .plans import reports
+from .rules import builtin
 from .rules.packs import Ruleset, load
 
 QUERIES: dict = {}
@@ -318,14 +319,6 @@ def header_sanitize(spark, d):
     return table(spark, d, "orders").select("o_orderkey", C.safe_header(F.concat(F.lit("a\r\nX: "), "o_orderpriority")).alias("value"))
 
 
-@query("audit_headers", "SELECT l_orderkey, concat('Html-Parts=', CAST(count(*) AS VARCHAR), ';Urls-Cleaned=', CAST(sum(l_linenumber) AS VARCHAR), CASE WHEN count(*) FILTER (l_returnflag = 'R') > 0 THEN concat(';Skipped-Oversized-Parts=', CAST(count(*) FILTER (l_returnflag = 'R') AS VARCHAR)) ELSE '' END) AS headers FROM lineitem GROUP BY ALL")
-def audit_headers(spark, d):
-    """Counters of a message's parts as ordered headers; those that are zero by default are left out."""
-    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("p"), F.sum("l_linenumber").alias("u"), F.count_if(F.col("l_returnflag") == "R").alias("o"))
-    text = F.concat(F.lit("Html-Parts="), F.col("p").cast("string"), F.lit(";Urls-Cleaned="), F.col("u").cast("string"), F.when(F.col("o") > 0, F.concat(F.lit(";Skipped-Oversized-Parts="), F.col("o").cast("string"))).otherwise(""))
-    return g.select("l_orderkey", text.alias("headers"))
-
-
 @query("clean_stats_sum", stripped("events", "event_id", GONE, EVENT_URL).join(("SELECT count(*) AS urls, sum(CAST(n_removed > 0 AS BIGINT)) AS cleaned, sum(n_removed) AS removed FROM (", ")")))
 def clean_stats_sum(spark, d):
     """Totals over all cleaned URLs."""
@@ -334,13 +327,40 @@ def clean_stats_sum(spark, d):
     return e.agg(F.count("*").alias("urls"), F.sum((F.col("n_removed") > 0).cast("long")).alias("cleaned"), F.sum("n_removed").alias("removed"))
 
 
-@query("rule_dedup", "SELECT lower(p_brand) AS value, p_size AS scope, min(p_partkey) AS first, count(*) - 1 AS duplicates FROM part GROUP BY lower(p_brand), p_size")
+@query("rule_dedup", "SELECT count(DISTINCT lower(p_brand)) AS loaded, count(DISTINCT (lower(p_brand), p_size)) - count(DISTINCT lower(p_brand)) AS duplicates, count(DISTINCT p_size) AS providers FROM part")
 def rule_dedup(spark, d):
-    """Equal rules joined into one, with the number of duplicates: the semantics of pack loading, on a table."""
-    return table(spark, d, "part").groupBy(F.lower("p_brand").alias("value"), F.col("p_size").alias("scope")).agg(F.min("p_partkey").alias("first"), (F.count("*") - 1).alias("duplicates"))
+    """A pack whose providers share a URL pattern, compiled: equal rules become one, with the number of duplicates.
+
+    The pack has a provider for each size and a rule for each of its brands, so it is bounded whatever the table's size.
+    """
+    sizes = table(spark, d, "part").groupBy("p_size").agg(F.collect_set(F.lower("p_brand")).alias("brands")).collect()
+    pack = {"providers": {f"p{r.p_size}": {"urlPattern": "https://x[.]example", "rules": sorted(x.replace("#", "") for x in r.brands)} for r in sizes}}
+    report = load([("parts", json.dumps(pack))], with_builtin=False)
+    return spark.createDataFrame([(report.reports[0].loaded, report.reports[0].duplicates, len(report.providers))], "loaded long, duplicates long, providers long")
+
+
+PACK_JSON = json.dumps(builtin.pack()).replace("'", "''")
+RULES_SQL = f"""
+WITH pack AS (SELECT CAST('{PACK_JSON}' AS JSON) -> 'providers' AS p),
+each AS (SELECT name, p -> name AS v FROM (SELECT p, unnest(json_keys(p)) AS name FROM pack)),
+rules AS (SELECT name, unnest(CAST(coalesce(v -> 'rules', '[]') AS VARCHAR[])) AS r FROM each),
+kinds AS (
+  SELECT name, r, CASE WHEN regexp_matches(r, '^[A-Za-z0-9_-]+[.][*]$') THEN 'prefix' WHEN regexp_matches(r, '[.*+?[]') THEN 'regex' ELSE 'exact' END AS kind,
+         CASE WHEN contains(r, '(') THEN len(string_split(r, '|')) ELSE 1 END AS n FROM rules
+),
+sizes AS (
+  SELECT count(*) AS providers, count(*) FILTER (v ->> 'completeProvider' = 'true') AS beacons, sum(coalesce(json_array_length(v -> 'redirections'), 0)) AS redirects FROM each
+),
+counts AS (
+  SELECT coalesce(sum(n), 0) AS params, sum(n) FILTER (kind = 'exact') AS exact, sum(n) FILTER (kind = 'prefix') AS prefix, sum(n) FILTER (kind = 'regex') AS regex, count(DISTINCT name) - 1 AS scopes FROM kinds
+)
+SELECT name, CAST(value AS BIGINT) AS value FROM (
+  SELECT unnest(['sources', 'providers', 'params', 'exact', 'prefix', 'regex', 'redirects', 'beacons', 'raw_rules', 'scopes', 'duplicates']) AS name,
+         unnest([1, providers, params, exact, prefix, regex, redirects, beacons, 0, scopes, 0]) AS value FROM sizes, counts)
+"""
 
 
-@query("rule_stats", "SELECT * FROM (VALUES ('sources', 1), ('providers', 54), ('params', 169), ('exact', 163), ('prefix', 4), ('regex', 2), ('redirects', 19), ('beacons', 14), ('raw_rules', 0), ('scopes', 18), ('duplicates', 0)) t(name, value)".replace("SELECT *", "SELECT name, CAST(value AS BIGINT) AS value"))
+@query("rule_stats", RULES_SQL)
 def rule_stats(spark, d):
     """Counters of the compiled built-in pack."""
     return reports.rule_stats(spark, rules())
@@ -352,10 +372,34 @@ def glob_match(spark, d):
     return table(spark, d, "events", u=EVENT_URL).where(C.glob(F.col("u"), "https://*EXAMPLE.*/p/*?*tag=*")).select("event_id")
 
 
+@query("tracker_summary", f"SELECT count(*) FILTER (regexp_matches(u, '(?:sendgrid[.]net|/ls/click[?]|hubspotlinks[.]com|links[.]iterable[.]com)')) AS wrappers, count(*) AS links FROM (SELECT {WRAPPED} AS u FROM events)")
+def tracker_summary(spark, d):
+    """How many links are click wrappers of mail services."""
+    wrappers = ("sendgrid", "sendgrid_branded", "hubspot", "iterable")
+    e = table(spark, d, "events", u=WRAPPED)
+    return e.agg(F.count_if(C.provider(F.col("u"), rules()).isin(*wrappers)).alias("wrappers"), F.count("*").alias("links"))
+
+
+# ---- links, pages and messages: what the engine must make of them, put together in SQL from their parts ----
+FULL = "(" + GONE + "".join(
+    f" OR (regexp_matches(u, '(?i){p.pattern}') AND (" + " OR ".join([f"{NAME} IN ({quoted(sorted({m.value for m in ms if m.kind == 'exact'}))})", *(f"regexp_matches({NAME}, '{m.value}')" for m in ms if m.kind == "regex")]) + "))"
+    for p in PACK.providers if not p.is_global and (ms := C.vendor_params(PACK, p.name))
+) + ")"
+EVENT_CLEAN, WRAPPED_CLEAN = stripped("events", "event_id", FULL, EVENT_URL), stripped("events", "event_id", FULL, WRAPPED, "user_id, u,")
+#: Of each event's two links: x cleaned, y where the wrapper leads, and the verdicts.
+LINKS_SQL = f"""
+SELECT event_id, u0, w, x, CASE WHEN n_x > 0 THEN 'clean' ELSE 'unchanged' END AS vx, y, provider, rejected,
+       CASE WHEN rejected IS NULL AND provider IS NOT NULL THEN 'unwrap' WHEN y <> w THEN 'clean' WHEN rejected IS NOT NULL THEN 'rejected:' || rejected ELSE 'unchanged' END AS vy, removed_x
+FROM (SELECT e.event_id, e.u AS u0, e.cleaned_url AS x, e.n_removed AS n_x, e.removed AS removed_x, v.u AS w,
+             CASE e.event_id % 6 WHEN 0 THEN 'sendgrid' WHEN 1 THEN 'hubspot' WHEN 2 THEN 'iterable' WHEN 3 THEN 'sendgrid_branded' WHEN 4 THEN 'google' END AS provider,
+             CASE WHEN e.event_id % 6 = 5 THEN NULL WHEN e.event_id % 4 = 2 THEN 'private-ip' WHEN e.event_id % 4 = 3 THEN 'userinfo' END AS rejected,
+             CASE WHEN e.event_id % 6 <> 5 AND e.event_id % 4 = 0 THEN 'https://dest.example.com/' || v.user_id WHEN e.event_id % 6 <> 5 AND e.event_id % 4 = 1 THEN 'https://dest.example.org/p?a=1' || v.user_id ELSE v.cleaned_url END AS y
+      FROM ({stripped("events", "event_id", FULL, EVENT_URL, "u,")}) e JOIN ({WRAPPED_CLEAN}) v USING (event_id))
+"""
 TEXT = f"concat('See ', {EVENT_URL}, '.')"
 
 
-@query("text_url_clean")
+@query("text_url_clean", f"SELECT event_id, 'See ' || cleaned_url || '.' AS text, CAST(n_removed > 0 AS BIGINT) AS n FROM ({EVENT_CLEAN})")
 def text_url_clean(spark, d):
     """URLs inside plain text, cleaned and not unwrapped."""
     from .functions.html import clean_text
@@ -364,36 +408,50 @@ def text_url_clean(spark, d):
     return ops.by_row(table(spark, d, "events", body=TEXT).select("event_id", "body"), ["body"], [("text", "string"), ("n", "long")], lambda t: clean_text(t, engine)).select("event_id", "text", "n")
 
 
-@query("tracker_summary", f"SELECT count(*) FILTER (regexp_matches(u, '(?:sendgrid[.]net|/ls/click[?]|hubspotlinks[.]com|links[.]iterable[.]com)')) AS wrappers, count(*) AS links FROM (SELECT {WRAPPED} AS u FROM events)")
-def tracker_summary(spark, d):
-    """How many links are click wrappers of mail services."""
-    wrappers = ("sendgrid", "sendgrid_branded", "hubspot", "iterable")
-    e = table(spark, d, "events", u=WRAPPED)
-    return e.agg(F.count_if(C.provider(F.col("u"), rules()).isin(*wrappers)).alias("wrappers"), F.count("*").alias("links"))
-
-
-@query("unwrap_urls")
+@query("unwrap_urls", f"SELECT event_id, y AS final_url, vy = 'unwrap' AS unwrapped, provider, rejected FROM ({LINKS_SQL})")
 def unwrap_urls(spark, d):
     """Wrapped links resolved offline, with provider and reason."""
-    return ops.unwrap_urls(table(spark, d, "events", url=WRAPPED).select("event_id", "url"), Engine(rules()))
+    return ops.unwrap_urls(table(spark, d, "events", url=WRAPPED).select("event_id", "url"), Engine(rules())).drop("url")
+
+
+MAIL_HTML = f"concat('<p><a href=\"', {EVENT_URL}, '\">a</a><a href=\"', {WRAPPED}, '\" ping=\"https://p.example/\">b</a><a href=\"#top\">c</a><area href=\"mailto:a@b.example\"><img src=\"https://t.example.com/o.gif\" width=\"1\" height=\"1\"><img src=\"https://cdn.example.com/photo.jpg\" width=\"600\" alt=\"x\"></p>')"
 
 
-@query("explain_links")
+@query("explain_links", f"SELECT event_id, unnest([0, 1, 2, 3]) AS place, unnest([u0, w, '#top', 'mailto:a@b.example']) AS href, unnest([vx, vy, 'skip', 'skip']) AS verdict, unnest([CASE WHEN vx = 'clean' THEN x END, CASE WHEN vy IN ('clean', 'unwrap') THEN y END, NULL, NULL]) AS new_href FROM ({LINKS_SQL})")
 def explain_links(spark, d):
-    """The verdict on every link of every page."""
-    return ops.explain_links(table(spark, d, "pages"), Engine(rules()), base_col="url")
+    """The verdict on every link of a page."""
+    return ops.explain_links(table(spark, d, "events", html=MAIL_HTML), Engine(rules()), key="event_id")
+
+
+@query("explain_page_links", "SELECT page_id, CAST(unnest(range(len(l))) AS INTEGER) AS place, unnest(l) AS href, CASE WHEN starts_with(unnest(l), '#') THEN 'skip' ELSE 'unchanged' END AS verdict FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1) AS l FROM pages)")
+def explain_page_links(spark, d):
+    """The verdict on every link of every page, against the page's own URL."""
+    return ops.explain_links(table(spark, d, "pages"), Engine(rules()), base_col="url").select("page_id", "place", "href", "verdict")
+
 
+COUNTS = "CAST(CAST(vx = 'clean' AS INT) + CAST(vy = 'clean' AS INT) AS BIGINT) AS urls_cleaned, CAST(vy = 'unwrap' AS BIGINT) AS redirects_unwrapped, CAST(1 AS BIGINT) AS pixels_removed, CAST(1 AS BIGINT) AS pings_stripped"
 
-@query("html_rewrite")
+
+@query("html_rewrite", f"SELECT event_id, true AS changed, {COUNTS}, '<p><a href=\"' || x || '\">a</a><a href=\"' || y || '\" >b</a><a href=\"#top\">c</a><area href=\"mailto:a@b.example\"><img src=\"https://cdn.example.com/photo.jpg\" width=\"600\" alt=\"x\"></p>' AS cleaned_html FROM ({LINKS_SQL})")
 def html_rewrite(spark, d):
-    """Pages rewritten: links cleaned against the page's own URL."""
-    return ops.clean_html(table(spark, d, "pages"), Engine(rules()), base_col="url").select("page_id", "changed", "urls_cleaned", "redirects_unwrapped", "pixels_removed", "pings_stripped", F.sha2("cleaned_html", 256).alias("sha"))
+    """HTML rewritten: links cleaned and unwrapped, pings and pixels taken out, all else as it was."""
+    return ops.clean_html(table(spark, d, "events", html=MAIL_HTML).select("event_id", "html"), Engine(rules())).drop("html")
+
+
+@query("html_rewrite_pages", "SELECT page_id, false AS changed, sha256(html) AS sha FROM pages")
+def html_rewrite_pages(spark, d):
+    """Whole pages, which have no tracking: every byte stays."""
+    return ops.clean_html(table(spark, d, "pages"), Engine(rules()), base_col="url").select("page_id", "changed", F.sha2("cleaned_html", 256).alias("sha"))
 
 
 MESSAGE = f"CAST(concat('From: Shop <news@shop.example.com>\\r\\nList-Unsubscribe: <https://shop.example.com/u?utm_a=', CAST(event_id AS STRING), '>\\r\\nContent-Type: text/html; charset=utf-8\\r\\n\\r\\n<p><a href=\"', {EVENT_URL}, '\">a</a><a href=\"', {WRAPPED}, '\" ping=\"https://p.example/\">b</a><img src=\"https://t.example.com/o.gif\" width=\"1\" height=\"1\"></p>\\r\\n') AS BINARY)"
+HEADERS_SQL = "['Version: 1', 'Mode: enforce', 'Modified: yes', 'Html-Parts: 1', 'Urls-Cleaned: ' || urls_cleaned, 'Redirects-Unwrapped: ' || redirects_unwrapped, 'Pixels-Removed: 1', 'Pings-Stripped: 1', 'Policy: default', 'Unsubscribe: https://shop.example.com/u?utm_a=' || event_id]"
+MAIL_SQL = f"""
+SELECT *, list_transform({HEADERS_SQL}, lambda h: 'X-Mailsieve-' || h) AS hs FROM (SELECT *, {COUNTS} FROM ({LINKS_SQL}))
+"""
 
 
-@query("mime_clean")
+@query("mime_clean", f"SELECT event_id, CAST(1 AS BIGINT) AS html_parts, urls_cleaned, redirects_unwrapped, pixels_removed, pings_stripped, true AS modified, 'enforce' AS mode, 'default' AS policy, 10 AS n_headers, sha256(array_to_string(['From: Shop <news@shop.example.com>', 'List-Unsubscribe: <https://shop.example.com/u?utm_a=' || event_id || '>', 'Content-Type: text/html; charset=utf-8', array_to_string(hs, chr(13) || chr(10)), '', '<p><a href=\"' || x || '\">a</a><a href=\"' || y || '\" >b</a></p>', ''], chr(13) || chr(10))) AS sha FROM ({MAIL_SQL})")
 def mime_clean(spark, d):
     """Whole messages cleaned, with counters and audit headers."""
     e = table(spark, d, "events", raw=MESSAGE).select("event_id", "raw")
@@ -402,32 +460,70 @@ def mime_clean(spark, d):
     return out.select("event_id", "html_parts", "urls_cleaned", "redirects_unwrapped", "pixels_removed", "pings_stripped", "modified", "mode", "policy", F.size("audit_headers").alias("n_headers"), F.sha2("cleaned", 256).alias("sha"))
 
 
-@query("message_totals")
+@query("audit_headers", f"SELECT event_id, array_to_string(hs, '; ') AS headers FROM ({MAIL_SQL})")
+def audit_headers(spark, d):
+    """The audit headers of every message, in their order; those that are zero by default are left out."""
+    out = ops.clean_messages(table(spark, d, "events", raw=MESSAGE).select("event_id", "raw"), Engine(rules()))
+    return out.select("event_id", F.array_join(F.transform("audit_headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "; ").alias("headers"))
+
+
+@query("message_totals", f"SELECT count(*) AS messages, count(*) AS html_parts, CAST(sum(urls_cleaned) AS BIGINT) AS urls_cleaned, CAST(sum(redirects_unwrapped) AS BIGINT) AS redirects_unwrapped, count(*) AS pixels_removed, count(*) AS pings_stripped, CAST(0 AS BIGINT) AS errors, count(*) AS modified FROM ({MAIL_SQL})")
 def message_totals(spark, d):
     """Totals over all messages."""
     return reports.totals(ops.clean_messages(table(spark, d, "events", raw=MESSAGE).select("event_id", "raw"), Engine(rules())))
 
 
-@query("qp_encode")
+@query("message_links", f"SELECT event_id, unnest([1, 2]) AS place, unnest([u0, w]) AS href, unnest([vx, vy]) AS verdict, unnest([NULL, provider]) AS provider, unnest([replace(removed_x, ',', ' '), CASE WHEN vy IN ('unwrap', 'unchanged') OR event_id % 6 <> 4 THEN CASE event_id % 6 WHEN 4 THEN 'sa' ELSE '' END ELSE 'sa' END]) AS removed FROM ({LINKS_SQL})")
+def message_links(spark, d):
+    """Every link of every message with its verdict, provider and removed parameters."""
+    out = reports.explain_messages(table(spark, d, "events", raw=MESSAGE), Engine(rules()), key="event_id")
+    return out.select("event_id", "place", "href", "verdict", "provider", F.array_join("removed", " ").alias("removed"))
+
+
+@query("message_trackers", f"SELECT event_id, CAST(provider IS NOT NULL AS BIGINT) AS redirect_wrappers, CAST(CAST(vx = 'clean' AS INT) + CAST(provider = 'google' AND provider IS NOT NULL AS INT) AS BIGINT) AS param_tracking_links, CAST(1 AS BIGINT) AS tracking_pixels, CAST(1 AS BIGINT) AS link_pings FROM ({LINKS_SQL})")
+def message_trackers(spark, d):
+    """The trackers of every message."""
+    return reports.trackers(table(spark, d, "events", raw=MESSAGE), Engine(rules()), key="event_id")
+
+
+@query("qp_encode", "SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '\r?\n', chr(13) || chr(10), 'g')) AS sha, true AS fits FROM documents")
 def qp_encode(spark, d):
-    """Documents in quoted-printable."""
+    """Documents in quoted-printable and back: the text with network line ends; every line is ASCII of at most 76 bytes."""
+    import quopri
+
     from .functions.mime import quoted_printable
 
+    def one(t):
+        encoded = quoted_printable((t or "").encode())
+        return quopri.decodestring(encoded), encoded.isascii() and max(map(len, encoded.split(b"\r\n"))) <= 76
+
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return ops.by_row(docs, ["text"], [("encoded", "binary")], lambda t: (quoted_printable((t or "").encode()),)).select("doc_id", F.sha2("encoded", 256).alias("sha"), F.octet_length("encoded").alias("n_bytes"))
+    return ops.by_row(docs, ["text"], [("decoded", "binary"), ("fits", "boolean")], one).select("doc_id", F.sha2("decoded", 256).alias("sha"), "fits")
+
+
+LINE = "concat('<a href=\"https://a.example/?utm_a=', CAST(turn AS VARCHAR(20)), '&k=', CAST(turn AS VARCHAR(20)), '\">', role, '</a>')"
 
 
-@query("milter_session")
+@query("milter_session", f"""
+WITH c AS (SELECT conv_id, count(*) AS n, sha256(string_agg(replace(l, 'utm_a=' || turn || '&', ''), '' ORDER BY turn, l)) AS body FROM (SELECT conv_id, turn, {LINE} AS l FROM conversations) GROUP BY conv_id)
+SELECT CAST(conv_id AS VARCHAR) AS conn_id, 'O' AS action, CAST(1 AS BIGINT) AS n, NULL AS body FROM c
+UNION ALL SELECT CAST(conv_id AS VARCHAR), 'c', n + 3, NULL FROM c
+UNION ALL SELECT CAST(conv_id AS VARCHAR), 'h', 9, NULL FROM c
+UNION ALL SELECT CAST(conv_id AS VARCHAR), 'b', 1, body FROM c
+""")
 def milter_session(spark, d):
-    """Sessions of a mail filter, one for each conversation, replayed as a batch through the session logic."""
+    """Sessions of a mail filter, one for each conversation, replayed as a batch through the session logic: the replies of each kind, and the new body."""
     import pandas as pd
 
     from .streaming.session import OUTPUT, Session
 
     engine = Engine(rules())
-    c = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("conn_id"), F.col("turn").alias("seq"), F.lit("B").alias("cmd"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("payload"))
+    c = table(spark, d, "conversations", l=LINE).select(F.col("conv_id").cast("string").alias("conn_id"), F.col("turn").alias("seq"), F.lit("B").alias("cmd"), F.encode("l", "utf-8").alias("payload"))
     ends = c.select("conn_id").distinct()
-    packets = c.unionByName(ends.select("conn_id", F.lit(-1).cast("long").alias("seq"), F.lit("M").alias("cmd"), F.lit(b"").alias("payload"))).unionByName(ends.select("conn_id", F.lit(1 << 40).alias("seq"), F.lit("E").alias("cmd"), F.lit(b"").alias("payload")))
+    fixed = lambda seq, cmd, payload: ends.select("conn_id", F.lit(seq).cast("long").alias("seq"), F.lit(cmd).alias("cmd"), F.lit(payload).alias("payload"))
+    packets = c
+    for part in (fixed(-3, "O", b"\0\0\0\x06\0\0\0\x03"), fixed(-2, "M", b""), fixed(-1, "L", b"Content-Type\0text/html\0"), fixed(1 << 40, "E", b""), fixed((1 << 40) + 1, "Q", b"")):
+        packets = packets.unionByName(part)
 
     def run(key, frame):
         s, out = Session(engine.config.max_message_size), []
@@ -435,4 +531,5 @@ def milter_session(spark, d):
             out += [(key[0], r.seq, a, p) for a, p in s.feed(r.cmd, bytes(r.payload), engine)]
         return pd.DataFrame(out, columns=["conn_id", "seq", "action", "payload"])
 
-    return packets.groupBy("conn_id").applyInPandas(run, OUTPUT).groupBy("action").agg(F.count("*").alias("n"))
+    replies = packets.groupBy("conn_id").applyInPandas(run, OUTPUT)
+    return replies.groupBy("conn_id", "action").agg(F.count("*").alias("n"), F.max(F.when(F.col("action") == "b", F.sha2("payload", 256))).alias("body"))

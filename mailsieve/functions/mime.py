@@ -100,7 +100,8 @@ def parts(raw: bytes, start: int = 0, end: int | None = None) -> list[Part]:
 def decoded(raw: bytes, p: Part) -> bytes:
     data = raw[p.start : p.end]
     if p.encoding == "base64":
-        return base64.b64decode(re.sub(rb"[^A-Za-z0-9+/]", b"", data) + b"===")
+        data = re.sub(rb"[^A-Za-z0-9+/]", b"", data)
+        return base64.b64decode(data[: len(data) - (len(data) % 4 == 1)] + b"===")  # a single last character holds no byte
     return quopri.decodestring(data) if p.encoding == "quoted-printable" else data
 
 

@@ -533,3 +533,9 @@ def milter_session(spark, d):
 
     replies = packets.groupBy("conn_id").applyInPandas(run, OUTPUT)
     return replies.groupBy("conn_id", "action").agg(F.count("*").alias("n"), F.max(F.when(F.col("action") == "b", F.sha2("payload", 256))).alias("body"))
+
+
+from . import cases  # noqa: E402  the same for functions on single values
+
+QUERIES |= cases.QUERIES
+ORACLE |= cases.ORACLE

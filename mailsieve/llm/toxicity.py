@@ -2,7 +2,7 @@
 
 One weight vector w serves all thresholds: P(grade > k) = sigmoid(w.x - t_k) with t_0 < t_1 < ...
 Features are the distinct words of the whole text (A-Z lower-cased, split at white space and ASCII
-punctuation), hashed.  An L1 penalty that falls with the root of the number of examples, applied by proximal steps, keeps the weights of ordinary words
+punctuation) and the first bytes of the longer ones, so that a word counts in all its forms; all are hashed.  An L1 penalty that falls with the root of the number of examples, applied by proximal steps, keeps the weights of ordinary words
 at zero.  The expected severity is the sum of P(grade > k) over the thresholds.
 """
 
@@ -17,17 +17,22 @@ from pyspark.sql import functions as F
 
 from .common import fresh, read
 from .decontaminate import GAP
-from .textkit import U64, Words, flat, mix, pieces, row_of
+from .textkit import U64, Words, flat, mix, pieces, row_of, spans_hash
 
-SLOTS, MAX_FIT, STEPS, L1, L2, REJECT = 1 << 18, 12_000, 150, 0.0165, 1e-5, 0.5
+SLOTS, MAX_FIT, STEPS, L1, L2, REJECT = 1 << 20, 12_000, 300, 0.0165, 1e-5, 0.5
+STEMS, LEAST_DOCS, PRUNE = (5, 7), 3, 60
 
 
 def features(column) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the distinct words of each row, and the offsets of the rows."""
+    """Slots of the distinct words and stems of each row, and the offsets of the rows."""
     w = Words(*flat(column), lower=True, gap=GAP)
-    key = row_of(w.rows) * SLOTS + (mix(w.hashes()) >> U64(46)).astype(np.int64)
-    key = np.unique(key)
-    return (key % SLOTS).astype(np.int64), np.searchsorted(key, np.arange(len(w.rows)) * SLOTS)
+    row, shift = row_of(w.rows) * SLOTS, U64(64 - (SLOTS.bit_length() - 1))
+    key = [row + (mix(w.hashes()) >> shift).astype(np.int64)]
+    for size in STEMS:
+        at = np.flatnonzero(w.end - w.start > size)
+        key.append(row[at] + (mix(spans_hash(w.data, w.start[at], w.start[at] + size, 1) + U64(size)) >> shift).astype(np.int64))
+    key = np.unique(np.concatenate(key))
+    return key % SLOTS, np.searchsorted(key, np.arange(len(w.rows)) * SLOTS)
 
 
 def sums(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -56,10 +61,13 @@ class Model:
 
 
 def fit_arrays(slot: np.ndarray, off: np.ndarray, grade: np.ndarray, steps: int = STEPS, l1: float = L1, l2: float = L2) -> Model:
-    """Penalised maximum likelihood by accelerated proximal gradient steps with adaptive scales."""
-    # words of one document only can't tell grades apart
+    """Penalised maximum likelihood by proximal gradient steps with adaptive scales.
+
+    Every PRUNE steps the features whose weight is zero by then leave, so that later steps are cheap.
+    """
+    # words of one or two documents can't tell grades apart
     used, slot, seen = np.unique(slot, return_inverse=True, return_counts=True)
-    often = seen[slot] > 1
+    often = seen[slot] >= min(LEAST_DOCS, max(1, len(grade) // 20))
     off = np.append(0, np.cumsum(often))[off]
     slot = slot[often]
     n, k = len(grade), max(1, int(grade.max(initial=0)))
@@ -70,7 +78,13 @@ def fit_arrays(slot: np.ndarray, off: np.ndarray, grade: np.ndarray, steps: int
     t = -np.log(share / (1 - share))
     first, gap = t[0], np.log(np.maximum(np.diff(t), 0.05))
     sw, st = np.zeros(len(used)), np.zeros(k)
-    for _ in range(steps if n else 0):
+    for step in range(steps if n else 0):
+        if step and step % PRUNE == 0:
+            live = w != 0
+            stay = live[slot]
+            off = np.append(0, np.cumsum(stay))[off]
+            slot, row = (np.cumsum(live) - 1)[slot[stay]], row[stay]
+            used, w, sw = used[live], w[live], sw[live]
         t = first + np.append(0.0, np.cumsum(np.exp(gap)))
         above = sigmoid(sums(w[slot], off)[:, None] - t)
         p = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
@@ -103,9 +117,14 @@ def grades(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.select(F.col(id_col).alias("__id"), grade.alias("__grade")).where("__id is not null and __grade is not null").groupBy("__id").agg(F.max("__grade").alias("__grade"))
 
 
+def held_out(i):
+    """Every fourth document by the hash of its id is no example, so its grade tells how well the model does."""
+    return F.coalesce(F.crc32(i.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT) -> Model | None:
-    """Fit on labelled documents, at most about ``max_fit`` of them, those whose hashed id is lowest."""
-    graded = grades(labels, id_col)
+    """Fit on labelled documents that are not held out, at most about ``max_fit`` of them, those whose hashed id is lowest."""
+    graded = grades(labels, id_col).where(~held_out(F.col("__id")))
     n = graded.count()
     unit = F.shiftrightunsigned(F.xxhash64("__id", F.lit(3)), 11) / F.lit(float(2**53))
     picked = graded.where(unit < F.lit(min(1.0, max_fit / max(1, n))))
@@ -142,19 +161,21 @@ def _score(docs: DataFrame, model: Model | None, text_col: str, keep: list[str])
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT) -> DataFrame:
-    """``docs`` with severity (expected grade), grade (most likely) and toxic (severity at least 0.5).
+    """``docs`` with severity (expected grade), grade (most likely), toxic (severity at least 0.5) and held_out.
+
+    Labels of held-out documents (crc32 of the id as text is 2 modulo 4) are not learned from.
 
     Null and empty texts have no words and get the severity of the thresholds alone.  Without any
     label that meets a document all severities are 0.  Rows are scored on their own, so ties and
-    repeated rows score equally; texts of any length are taken whole; columns named severity, grade and
-    toxic are replaced, all others pass through whatever their names.
+    repeated rows score equally; texts of any length are taken whole; columns named severity, grade, toxic
+    and held_out are replaced, all others pass through whatever their names.
     """
-    keep = [c for c in docs.columns if c not in ("severity", "grade", "toxic")]
-    return _score(docs, fit(docs, labels, id_col, text_col, max_fit), text_col, keep).withColumn("toxic", F.col("severity") >= REJECT)
+    keep = [c for c in docs.columns if c not in ("severity", "grade", "toxic", "held_out")]
+    return _score(docs, fit(docs, labels, id_col, text_col, max_fit), text_col, keep).withColumns({"toxic": F.col("severity") >= REJECT, "held_out": held_out(F.col(id_col))})
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return score(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")).select("doc_id", "severity", "grade", "toxic")
+    return score(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")).select("doc_id", "severity", "grade", "toxic", "held_out")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,6 +118,15 @@ def test_toxicity(spark):
     assert toxicity.score(df.limit(0), lab).count() == 0
 
 
+def test_toxicity_of_held_out_documents(spark):
+    """Labels that the model has not seen."""
+    d = "/root/testdata/sf0.1"
+    out = QUERIES["op9_toxicity"](spark, d).withColumnRenamed("toxic", "said").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
+    hit = sum(x.said and x.toxic == 1 for x in out)
+    assert len(out) > 900 and hit >= 0.92 * sum(x.said for x in out) and hit >= 0.7 * sum(x.toxic == 1 for x in out)
+    assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 4 == 2) for x in out)
+
+
 def test_ordinal_thresholds_are_ordered():
     r = np.random.default_rng(0)
     grade = r.integers(0, 4, 400)

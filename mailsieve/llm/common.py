@@ -50,13 +50,15 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
-def by_key(rows: DataFrame, per: DataFrame, keys: list[str], count: str, total: int, hot_keys: int = 50_000) -> DataFrame:
+def by_key(rows: DataFrame, per: DataFrame, keys: list[str], count: str, total: int, least: int = 2000, hot_keys: int = 50_000) -> DataFrame:
     """``rows`` joined to the one row that ``per`` has for their ``keys``; no task gathers a frequent key.
 
-    ``count`` of ``per`` says how many of the ``total`` rows a key has at most.  Keys above total / hot_keys are
-    broadcast, and there can be no more than ``hot_keys`` of them; the others meet in a shuffle.
+    ``count`` of ``per`` says how many of the ``total`` rows a key has at most.  Keys above ``least`` and
+    total / hot_keys are broadcast, and there can be no more than ``hot_keys`` of them; the others meet in a shuffle.
     """
-    bound = max(2000, -(-total // hot_keys))
+    bound = max(least, -(-total // hot_keys))
+    if total <= bound:
+        return rows.join(per, keys)
     taken = [*rows.columns, *per.columns]
     names = {k: fresh(f"per_{k}", taken) for k in keys}
     value = fresh("per_value", [*taken, *names.values()])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import NARROW, components
 from .superk import cuts, ordered
 from .textkit import U64, Words, flat, mix, row_of, sequence_hash, starts_inside, window_hash
 
@@ -213,7 +213,7 @@ def in_cells(members: DataFrame, group: str, leaf_rows: int, weight: str = "0L")
     total = per.agg(F.sum("rows"), F.sum("w")).first()
     cells = max(1, math.ceil((total[0] or 0) / leaf_rows), math.ceil((total[1] or 0) / LEAF_SHINGLES))
     leaf = F.pmod(F.xxhash64("rep"), F.col("leaves")).cast("int")
-    placed = common.by_key(members, per, [group], "rows", total[0] or 0).withColumn("leaf", leaf).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
+    placed = common.by_key(members, per, [group], "rows", total[0] or 0, NARROW).withColumn("leaf", leaf).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
     own = F.xxhash64(group, F.least("leaf", "other"), F.greatest("leaf", "other"))
     return placed.withColumn("cell", F.when(F.col("leaves") > 1, own).otherwise(F.pmod(F.xxhash64(group), F.lit(cells)))).drop("rows", "w", "leaves", "leaf", "other")
 
@@ -280,7 +280,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     by_key = several.select(F.explode("keys").alias("key"), "rep")
     low = by_key.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("high"), F.count("*").alias("c")).where("hub < high").select("key", "hub", "c")
     routed = several.agg(F.sum(F.size("keys"))).first()[0] or 0
-    member = common.cut(common.by_key(by_key, low, ["key"], "c", routed).select("rep", "hub").distinct(), free=True)
+    member = common.cut(common.by_key(by_key, low, ["key"], "c", routed, NARROW).select("rep", "hub").distinct(), free=True)
 
     def pointed(batches):
         for batch in batches:
@@ -318,7 +318,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     found = components(edges)
     named = classes.select("s1", "s2", "n", "rep", "copies").join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", "copies", F.coalesce("component", "rep").alias("label"))
     # rows without a set or an id link with nothing and meet no key
-    out = common.by_key(linkable.select("doc_id", "s1", "s2", "n"), named, ["s1", "s2", "n"], "copies", table.count()).select("doc_id", "n", "label")
+    out = common.by_key(linkable.select("doc_id", "s1", "s2", "n"), named, ["s1", "s2", "n"], "copies", table.count(), NARROW).select("doc_id", "n", "label")
     rest = table.where("n = 0 or doc_id is null").select("doc_id", "n")
     if twice:  # an empty text of an id that has others too
         label = rest.join(repeated.join(found, F.col("id") == F.col("node")).select("id", "component"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("label"))

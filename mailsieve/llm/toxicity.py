@@ -19,7 +19,7 @@ from .common import fresh, read
 from .decontaminate import GAP
 from .textkit import U64, Words, flat, mix, pieces, row_of, spans_hash
 
-SLOTS, MAX_FIT, STEPS, L1, L2, REJECT = 1 << 20, 12_000, 300, 0.0165, 1e-5, 0.5
+SLOTS, MAX_FIT, STEPS, L1, L2, REJECT = 1 << 20, 8_000, 300, 0.0165, 1e-5, 0.5
 STEMS, LEAST_DOCS, PRUNE = (5, 7), 3, 60
 
 
@@ -36,8 +36,10 @@ def features(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sums(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    c = np.append(0.0, np.cumsum(value))
-    return c[offsets[1:]] - c[offsets[:-1]]
+    out, some = np.zeros(len(offsets) - 1), np.flatnonzero(np.diff(offsets))
+    if len(some):
+        out[some] = np.add.reduceat(value, offsets[:-1][some])
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -65,13 +67,14 @@ def fit_arrays(slot: np.ndarray, off: np.ndarray, grade: np.ndarray, steps: int
 
     Every PRUNE steps the features whose weight is zero by then leave, so that later steps are cheap.
     """
-    # words of one or two documents can't tell grades apart
-    used, slot, seen = np.unique(slot, return_inverse=True, return_counts=True)
-    often = seen[slot] >= min(LEAST_DOCS, max(1, len(grade) // 20))
-    off = np.append(0, np.cumsum(often))[off]
-    slot = slot[often]
+    # words of one or two documents can't tell grades apart; small integers keep the driver's share small
+    seen = np.bincount(slot, minlength=SLOTS) >= min(LEAST_DOCS, max(1, len(grade) // 20))
+    used, often = np.flatnonzero(seen), seen[slot]
+    off = np.append(0, np.cumsum(often, dtype=np.int32))[off]
+    slot = (np.cumsum(seen, dtype=np.int32) - np.int32(1))[slot[often]]
+    del often
     n, k = len(grade), max(1, int(grade.max(initial=0)))
-    row = row_of(off)
+    row = row_of(off).astype(np.int32)
     w = np.zeros(len(used))
     # thresholds as a first one and logarithms of the gaps, which keeps them in order
     share = np.clip([(grade > j).mean() if n else 0.5 for j in range(k)], 1e-4, 1 - 1e-4)
@@ -83,7 +86,7 @@ def fit_arrays(slot: np.ndarray, off: np.ndarray, grade: np.ndarray, steps: int
             live = w != 0
             stay = live[slot]
             off = np.append(0, np.cumsum(stay))[off]
-            slot, row = (np.cumsum(live) - 1)[slot[stay]], row[stay]
+            slot, row = (np.cumsum(live, dtype=np.int32) - np.int32(1))[slot[stay]], row[stay]
             used, w, sw = used[live], w[live], sw[live]
         t = first + np.append(0.0, np.cumsum(np.exp(gap)))
         above = sigmoid(sums(w[slot], off)[:, None] - t)
@@ -140,9 +143,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = rows.mapInArrow(run, f"id {kind}, grade int, slots array<int>").orderBy("id", "slots").limit(4 * max_fit).toArrow().combine_chunks()
     if not len(got):
         return None
-    lists = got["slots"].combine_chunks()
+    lists, grade = got["slots"].combine_chunks(), got["grade"].to_numpy().astype(np.int64)
     off = lists.offsets.to_numpy().astype(np.int64)
-    return fit_arrays(lists.flatten().to_numpy().astype(np.int64), off - off[0], got["grade"].to_numpy().astype(np.int64))
+    slot = lists.flatten().to_numpy()
+    del got, lists
+    return fit_arrays(slot, off - off[0], grade)
 
 
 def _score(docs: DataFrame, model: Model | None, text_col: str, keep: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def read_messages(spark: SparkSession, path: str, pattern: str = "*.eml") -> DataFrame:
-    """(msg_id, path, raw) of every message file of a folder, not of its subfolders."""
+    """(msg_id, path, raw) of every message file of a folder, not of its subfolders; reports order them by name."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(path)
     return files.select(F.regexp_extract("path", "([^/]*)$", 1).alias("msg_id"), "path", F.col("content").alias("raw"))
 

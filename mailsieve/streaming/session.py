@@ -11,13 +11,15 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.engine import Engine
 from ..functions.mime import clean_message_fail_open, header_block, safe_value
 
-ADD_HEADERS, CHANGE_BODY, CHUNK, VERSION = 0x01, 0x02, 60_000, 6
+ADD_HEADERS, CHANGE_BODY, CHUNK, VERSION, MAX_PACKET = 0x01, 0x02, 60_000, 6, 256 << 20
 OUTPUT = "conn_id string, seq long, action string, payload binary"
 
 
@@ -76,6 +78,40 @@ class Session:
         return [*out, ("c", b"")]
 
 
+def frames(raw: bytes, limit: int = MAX_PACKET) -> list[tuple[str, bytes]]:
+    """(command, payload) of every packet of a connection's bytes: a length of four bytes, a command and its payload.
+
+    A packet without a command or above ``limit`` ends the connection: it becomes a quit, and so does one that is cut short.
+    """
+    out, at = [], 0
+    while at + 4 <= len(raw):
+        n = int.from_bytes(raw[at : at + 4], "big")
+        if not 0 < n <= limit or at + 4 + n > len(raw):
+            return [*out, ("Q", b"")]
+        out.append((chr(raw[at + 4]), raw[at + 5 : at + 4 + n]))
+        at += 4 + n
+    return out
+
+
+def framed(action: str, payload: bytes) -> bytes:
+    """A reply as it goes back over the connection."""
+    return (len(payload) + 1).to_bytes(4, "big") + action.encode("latin-1") + payload
+
+
+def read_packets(spark: SparkSession, path: str, pattern: str = "*", stream: bool = False) -> DataFrame:
+    """Packets (conn_id, seq, cmd, payload) from a folder with a file of bytes for each connection, as a table or as a stream of files as they come."""
+    reader = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary") if stream else spark.read
+    files = reader.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+
+    def run(batches):
+        for b in batches:
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                every = frames(raw or b"")
+                yield pa.RecordBatch.from_pydict({"conn_id": pa.array([name] * len(every), pa.string()), "seq": pa.array(range(len(every)), pa.int64()), "cmd": pa.array([c for c, _ in every], pa.string()), "payload": pa.array([p for _, p in every], pa.binary())})
+
+    return files.select(F.regexp_extract("path", "([^/]*)$", 1).alias("conn_id"), "content").mapInArrow(run, "conn_id string, seq long, cmd string, payload binary")
+
+
 def replies(packets: DataFrame, engine: Engine, quiet_ms: int = 3_600_000) -> DataFrame:
     """The replies of every session of a stream of packets."""
     limit = engine.config.max_message_size

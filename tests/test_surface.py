@@ -150,3 +150,19 @@ def test_names_of_any_number(spark):
     for most in (1, 100):
         got = ops.strip_by_join(df, names, max_in_list=most).select("id", "cleaned_url", "n_removed").collect()
         assert sorted((r[0], r[1], max(r[2], 0)) for r in got) == want
+
+
+def test_packets_of_files(spark, tmp_path):
+    from mailsieve.streaming.session import framed, frames, read_packets
+
+    every = [("M", b""), ("B", b"x" * 300), ("Q", b"")]
+    raw = b"".join(framed(c, p) for c, p in every)
+    assert frames(raw) == every and frames(raw, limit=100) == [("M", b""), ("Q", b"")] and frames(raw[:-3]) == every[:2]
+    assert frames(b"\0\0\0\0") == [("Q", b"")] and frames(b"") == []
+    (tmp_path / "c1.bin").write_bytes(raw)
+    (tmp_path / "c2.bin").write_bytes(framed("M", b"")[:4])
+    got = read_packets(spark, str(tmp_path)).orderBy("conn_id", "seq").collect()
+    assert [(r.conn_id, r.seq, r.cmd, bytes(r.payload)) for r in got] == [("c1.bin", i, c, p) for i, (c, p) in enumerate(every)] + [("c2.bin", 0, "Q", b"")]
+    stream = read_packets(spark, str(tmp_path), stream=True).writeStream.format("memory").queryName("packets").trigger(availableNow=True).start()
+    stream.awaitTermination(60)
+    assert spark.table("packets").count() == 4

@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules.packs import Matcher, Ruleset
+from .engine import needed
 from .html import EXTENSIONS, LAYOUT, NEEDLES
 
 
@@ -98,17 +99,30 @@ def vendor_params(rules: Ruleset, name: str) -> list[Matcher]:
     return [p.matcher for p, names in rules.params if name in names and not p.is_global]
 
 
+def found(url: Column, low: Column, pattern: str) -> Column:
+    """Whether a pattern matches, tried only where the URL (``low``: in lower case) holds one of the strings that it needs."""
+    test = url.rlike("(?i)" + pattern)
+    strings = needed(pattern)
+    if "" in strings:
+        return test
+    holds = F.contains(low, F.lit(strings[0]))
+    for x in strings[1:]:
+        holds = holds | F.contains(low, F.lit(x))
+    return holds & test
+
+
 def provider(url: Column, rules: Ruleset) -> Column:
     """The first provider other than the global one whose pattern the URL matches."""
-    out = F.lit(None).cast("string")
+    out, low = F.lit(None).cast("string"), F.lower(url)
     for p in reversed([p for p in rules.providers if not p.is_global]):
-        out = F.when(url.rlike("(?i)" + p.pattern), p.name).otherwise(out)
+        out = F.when(found(url, low, p.pattern), p.name).otherwise(out)
     return out
 
 
 def redirect_target(url: Column, rules: Ruleset) -> Column:
     """The undecoded target of the first pattern redirect that matches; lazily, in load order."""
-    hits = [F.when(url.rlike("(?i)" + r.pattern), F.regexp_extract(url, "(?i)" + r.pattern, 1)) for r in rules.redirects if r.kind == "pattern"]
+    low = F.lower(url)
+    hits = [F.when(found(url, low, r.pattern), F.regexp_extract(url, "(?i)" + r.pattern, 1)) for r in rules.redirects if r.kind == "pattern"]
     return F.coalesce(*hits) if hits else F.lit(None).cast("string")
 
 

@@ -41,14 +41,17 @@ class Outcome:
     error: str | None = None
 
 
+BODY, FOLD, NEWLINE = re.compile(rb"\r?\n\r?\n"), re.compile(r"\r?\n[ \t]+"), re.compile(r"\r?\n")
+
+
 def header_block(raw: bytes, start: int, end: int) -> tuple[list[tuple[str, str]], int]:
     """Unfolded headers, and where the body begins."""
-    m = re.compile(rb"\r?\n\r?\n").search(raw, start, end)
+    m = BODY.search(raw, start, end)
     if raw[start : start + 1] in (b"\n",) or raw[start : start + 2] == b"\r\n":
         return [], start + (1 if raw[start : start + 1] == b"\n" else 2)
     stop, body = (m.start(), m.end()) if m else (end, end)
-    text = re.sub(r"\r?\n[ \t]+", " ", raw[start:stop].decode("utf-8", "replace"))
-    return [(k.strip(), v.strip()) for k, c, v in (line.partition(":") for line in re.split(r"\r?\n", text)) if c], body
+    text = FOLD.sub(" ", raw[start:stop].decode("utf-8", "replace"))
+    return [(k.strip(), v.strip()) for k, c, v in (line.partition(":") for line in NEWLINE.split(text)) if c], body
 
 
 def header(headers, name: str) -> str:

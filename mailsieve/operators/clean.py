@@ -30,8 +30,11 @@ def spread(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     return df.repartition(wanted) if wanted > df.rdd.getNumPartitions() else df
 
 
-def by_row(df: DataFrame, inputs: list[str], fields: list[tuple[str, str]], make, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """``df`` with columns that ``make(*inputs)`` gives for each row, in Arrow batches; columns of those names go."""
+def by_row(df: DataFrame, inputs: list[str], fields: list[tuple[str, str]], make, rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
+    """``df`` with columns that ``make(*inputs)`` gives for each row, in Arrow batches; columns of those names go.
+
+    Without ``rows_per_task`` the partitions stay as they are.
+    """
     keep = [c for c in df.columns if c not in {n for n, _ in fields}]
     schema = T.StructType([*df.select(*keep).schema.fields, *T._parse_datatype_string(", ".join(f"{n} {k}" for n, k in fields)).fields])
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,7 +49,7 @@ def by_row(df: DataFrame, inputs: list[str], fields: list[tuple[str, str]], make
             cols += [pa.array([r[i] for r in rows], wanted.field(n).type) for i, (n, _) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *[n for n, _ in fields]])
 
-    return spread(df, rows_per_task).mapInArrow(run, schema)
+    return (spread(df, rows_per_task) if rows_per_task else df).mapInArrow(run, schema)
 
 
 def normalise_urls(df: DataFrame, url_col: str = "url", out: str = "normal_url") -> DataFrame:
@@ -78,13 +81,13 @@ def unwrap_urls(df: DataFrame, engine: Engine, url_col: str = "url") -> DataFram
 
 def explain_links(df: DataFrame, engine: Engine, html_col: str = "html", key: str = "page_id", base_col: str | None = None) -> DataFrame:
     """One row for each link: its place, href, verdict and new href."""
-    every = df.select(key, *([base_col] if base_col else []), F.posexplode(C.links(F.col(html_col))).alias("place", "href"))
+    every = spread(df).select(key, *([base_col] if base_col else []), F.posexplode(C.links(F.col(html_col))).alias("place", "href"))
 
     def one(href, base=None):
         new, verdict = engine.link(href, base=parse(base) if base else None)
         return verdict, new
 
-    return by_row(every, ["href", *([base_col] if base_col else [])], [("verdict", "string"), ("new_href", "string")], one)
+    return by_row(every, ["href", *([base_col] if base_col else [])], [("verdict", "string"), ("new_href", "string")], one, None)
 
 
 def clean_html(df: DataFrame, engine: Engine, html_col: str = "html", base_col: str | None = None, sensitive_col: str | None = None) -> DataFrame:
